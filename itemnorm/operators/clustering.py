@@ -81,7 +81,7 @@ def ngram_nodes(keys: DataFrame, key: str, order: str, n: int = 2, unicode_ngram
     folder = work_folder(keys.sparkSession)
     grams = ngrams(key, n, unicode_ngrams)
     marked = keys.filter(F.col(key) != "").withColumn("tokens", F.array_sort(grams))
-    marked = cut(marked.withColumn("gram_key", F.array_join("tokens", "")), folder, "grams")
+    marked = marked.withColumn("gram_key", F.array_join("tokens", ""))
     nodes = marked.groupBy("gram_key").agg(
         F.min(order).alias("node"), F.any_value("tokens").alias("tokens"), F.min_by(key, order).alias("text")
     )

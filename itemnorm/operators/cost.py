@@ -108,7 +108,7 @@ def simple_estimate(batches: DataFrame, prices: DataFrame) -> DataFrame:
         "batch",
         "model",
         n.alias("total_rows"),
-        F.when(known, F.format_string("$%.2f", cost)).otherwise(F.lit("Unknown")).alias("cost_text"),
+        F.when(known, F.format_string("$%.2f", F.bround(cost, 2))).otherwise(F.lit("Unknown")).alias("cost_text"),
         seconds.alias("seconds"),
         F.when(known, duration_text(seconds)).otherwise(F.lit("Unknown")).alias("time_text"),
     )

@@ -145,7 +145,7 @@ def confidence_label(c: Column | str) -> Column:
 def duration_text(seconds: Column | str) -> Column:
     s = as_col(seconds)
     return (
-        F.when(s < 60, F.format_string("%.0fs", s))
-        .when(s < 3600, F.format_string("%.1f min", s / 60))
-        .otherwise(F.format_string("%.1f hours", s / 3600))
+        F.when(s < 60, F.format_string("%.0fs", F.bround(s, 0)))
+        .when(s < 3600, F.format_string("%.1f min", F.bround(s / 60, 1)))
+        .otherwise(F.format_string("%.1f hours", F.bround(s / 3600, 1)))
     )

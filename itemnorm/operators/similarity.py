@@ -57,7 +57,7 @@ def _sketch_word(hashes: str, k: int) -> Column:
 
 
 def signatures(nodes: DataFrame, threshold: float) -> DataFrame:
-    """One row per node, level and part: ``(node, level, part, signature, own, size, sketch)``.
+    """One row per node, level and part: ``(node, level, part, signature, own, size, w0..w3)``.
 
     ``own`` marks the band of the node's own size; the other rows let it meet smaller sets."""
     hashed = nodes.filter(F.size("tokens") > 0).select(
@@ -69,7 +69,7 @@ def signatures(nodes: DataFrame, threshold: float) -> DataFrame:
     sketched = hashed.select(
         "*",
         own_level.alias("own_level"),
-        F.struct(*[_sketch_word("hashes", k).alias(f"w{k}") for k in range(SKETCH_WORDS)]).alias("sketch"),
+        *[_sketch_word("hashes", k).alias(f"w{k}") for k in range(SKETCH_WORDS)],
     )
     levels = sketched.withColumn(
         "level", F.explode(F.array(F.col("own_level"), F.col("own_level") - 1))
@@ -86,14 +86,15 @@ def signatures(nodes: DataFrame, threshold: float) -> DataFrame:
             lambda i: F.struct(i.alias("part"), F.lit(0).cast("long").alias("hash")),
         ),
     )
+    words = [f"w{k}" for k in range(SKETCH_WORDS)]
     rows = levels.select(
-        "node", "level", (F.col("level") == F.col("own_level")).alias("own"), "size", "sketch", F.explode(cells).alias("cell")
+        "node", "level", (F.col("level") == F.col("own_level")).alias("own"), "size", *words, F.explode(cells).alias("cell")
     )
     return rows.groupBy("node", "level", F.col("cell.part").alias("part")).agg(
         F.bit_xor("cell.hash").alias("signature"),
         F.any_value("own").alias("own"),
         F.any_value("size").alias("size"),
-        F.any_value("sketch").alias("sketch"),
+        *[F.any_value(w).alias(w) for w in words],
     )
 
 
@@ -102,29 +103,39 @@ def _could_be_near(threshold: float) -> Column:
     a, b = F.col("a.size"), F.col("b.size")
     shared = F.ceil((a + b) * (threshold / (1 + threshold)) - TINY)
     distance = sum(
-        (F.bit_count(F.col(f"a.sketch.w{k}").bitwiseXOR(F.col(f"b.sketch.w{k}"))) for k in range(SKETCH_WORDS)),
+        (F.bit_count(F.col(f"a.w{k}").bitwiseXOR(F.col(f"b.w{k}"))) for k in range(SKETCH_WORDS)),
         F.lit(0),
     )
     ratio = (a >= b * threshold - TINY) & (b >= a * threshold - TINY)
     return ratio & (distance <= a + b - shared * 2)
 
 
-def _split_hot(left: DataFrame, right: DataFrame, folder: str, name: str, limit: int) -> tuple[DataFrame, DataFrame]:
+def _cut_counted(df: DataFrame, folder: str, name: str, what: Column) -> tuple[DataFrame, int]:
+    """As :func:`cut`, with an aggregate of the rows observed while they are written."""
+    seen = Observation()
+    table = cut(df.observe(seen, what.alias("n")), folder, name)
+    return table, seen.get["n"]
+
+
+def _split_hot(left: DataFrame, right: DataFrame, folder: str, name: str, limit: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """Give both sides a (cell_a, cell_b) grid coordinate, so that no join group holds more than about
     ``limit`` rows of either side. Rows of a hot signature are spread over one axis of its grid
-    and copied along the other; all other rows stay single."""
+    and copied along the other; all other rows stay single. Without a hot signature nothing changes."""
 
     def sizes(side: DataFrame, column: str) -> DataFrame:
         return side.groupBy(*SIGNATURE).agg(F.count("*").alias(column))
 
+    if left is right:
+        both = sizes(left, "n_a").withColumn("n_b", F.col("n_a"))
+    else:
+        both = sizes(left, "n_a").join(sizes(right, "n_b"), SIGNATURE)
     splits = lambda c: F.ceil(F.col(c) / limit).cast("int")
-    grid = (
-        sizes(left, "n_a")
-        .join(sizes(right, "n_b"), SIGNATURE)
-        .filter((F.col("n_a") > limit) | (F.col("n_b") > limit))
-        .select(*SIGNATURE, splits("n_a").alias("split_a"), splits("n_b").alias("split_b"))
+    hot = both.filter((F.col("n_a") > limit) | (F.col("n_b") > limit)).select(
+        *SIGNATURE, splits("n_a").alias("split_a"), splits("n_b").alias("split_b")
     )
-    grid = cut(grid, folder, f"{name}-grid")
+    grid, found = _cut_counted(hot, folder, f"{name}-grid", F.count(F.lit(1)))
+    if not found:
+        return left, right, list(SIGNATURE)
     one = F.lit(1)
 
     def place(side: DataFrame, spread: str, copied: str) -> DataFrame:
@@ -138,7 +149,7 @@ def _split_hot(left: DataFrame, right: DataFrame, folder: str, name: str, limit:
             }
         ).drop("split_a", "split_b")
 
-    return place(left, "a", "b"), place(right, "b", "a")
+    return place(left, "a", "b"), place(right, "b", "a"), [*SIGNATURE, "cell_a", "cell_b"]
 
 
 def candidates(
@@ -149,8 +160,7 @@ def candidates(
     ``salt=False`` is for a caller who knows that either side has at most ``limit`` nodes."""
     keys = list(SIGNATURE)
     if salt:
-        left, right = _split_hot(left, right, folder, name, limit)
-        keys += ["cell_a", "cell_b"]
+        left, right, keys = _split_hot(left, right, folder, name, limit)
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
     pairs = left.alias("a").join(
         right.alias("b"),
@@ -232,16 +242,14 @@ def similar_pairs(nodes: DataFrame, threshold: float, verify: Verify, token_thre
 # --- greedy leaders -----------------------------------------------------------------------------
 
 
-def _settle(edges: DataFrame, folder: str, name: str) -> tuple[DataFrame, int]:
+def _settle(edges: DataFrame, open_count: int, folder: str, name: str) -> DataFrame | None:
     """Members among the nodes of ``edges``: in order, a node is a member as soon as an earlier
     neighbour is a leader, and a leader once all its earlier neighbours are members.
 
     One table is written per round. It holds the edges still open and the members found in that round."""
-    schema = "kind string, a long, b long"
-    spark = edges.sparkSession
-    members = spark.createDataFrame([], "b long")
-    open_edges, rounds = edges.select("a", "b"), 0
-    while True:
+    members, rounds = None, 0
+    open_edges = edges.select("a", "b")
+    while open_count:
         rounds += 1
         leaders = open_edges.select("a").distinct().join(open_edges.select(F.col("b").alias("a")), "a", "left_anti")
         found = open_edges.join(leaders, "a", "left_semi").select("b").distinct()
@@ -249,17 +257,12 @@ def _settle(edges: DataFrame, folder: str, name: str) -> tuple[DataFrame, int]:
         step = rest.select(F.lit("edge").alias("kind"), "a", "b").unionByName(
             found.select(F.lit("member").alias("kind"), F.lit(None).cast("long").alias("a"), "b")
         )
-        seen = Observation()
-        step = step.observe(seen, F.count_if(F.col("kind") == "edge").alias("open"))
-        path = f"{folder}/{name}-round{rounds}"
-        step.write.parquet(path)
-        state = spark.read.schema(schema).parquet(path)
-        members = members.unionByName(state.filter("kind = 'member'").select("b"))
-        if not seen.get["open"]:
-            break
+        state, open_count = _cut_counted(step, folder, f"{name}-round{rounds}", F.count_if(F.col("kind") == "edge"))
+        new = state.filter("kind = 'member'").select("b")
+        members = new if members is None else members.unionByName(new)
         open_edges = state.filter("kind = 'edge'").select("a", "b")
     log.info("leader rounds: %d", rounds)
-    return members, rounds
+    return members
 
 
 def greedy_leaders(
@@ -267,8 +270,8 @@ def greedy_leaders(
     threshold: float,
     verify: Verify,
     token_threshold: float | None = None,
-    first_batch: int = 4096,
-    growth: int = 8,
+    first_batch: int = 8192,
+    growth: int = 16,
     limit: int = 2000,
 ) -> DataFrame:
     """``(node, leader)``: in node order, a node not yet absorbed leads and absorbs every later near node.
@@ -288,10 +291,12 @@ def greedy_leaders(
         candidates(left, right, token_threshold, folder=folder, name=name, limit=limit, salt=total > limit)
     ).select("a", "b")
 
-    signed = cut(signatures(nodes, token_threshold), folder, "signatures")
+    signed = signatures(nodes, token_threshold)
     ids = nodes.select("node")
     bounds = _batch_bounds(ids, total, first_batch, growth)
-    members = None
+    if len(bounds) > 1:
+        signed = cut(signed, folder, "signatures")
+    absorbed_parts: list[DataFrame] = []
     leader_ids = None
     for i, (low, high) in enumerate(bounds):
         inside = F.lit(True)
@@ -302,23 +307,24 @@ def greedy_leaders(
         batch, batch_signed = ids.filter(inside), signed.filter(inside)
         if leader_ids is not None:
             led = signed.filter(F.col("node") <= low).join(leader_ids, "node", "left_semi")
-            absorbed = cut(
-                edges_of(led, batch_signed, f"b{i}-absorb").groupBy("b").agg(F.min("a").alias("a")),
-                folder,
-                f"b{i}-absorbed",
-            )
+            near = edges_of(led, batch_signed, f"b{i}-absorb").groupBy("b").agg(F.min("a").alias("a"))
+            absorbed = cut(near, folder, f"b{i}-absorbed")
             taken = absorbed.select(F.col("b").alias("node"))
             batch, batch_signed = (d.join(taken, "node", "left_anti") for d in (batch, batch_signed))
-            members = absorbed if members is None else members.unionByName(absorbed)
-        edges = cut(edges_of(batch_signed, batch_signed, f"b{i}-within"), folder, f"b{i}-edges")
-        settled, _ = _settle(edges, folder, f"b{i}")
-        joined = edges.join(settled.select(F.col("b").alias("a")), "a", "left_anti").groupBy("b").agg(F.min("a").alias("a"))
-        members = joined if members is None else members.unionByName(joined)
-        new_leaders = batch.join(settled.select(F.col("b").alias("node")), "node", "left_anti")
-        new_leaders = cut(new_leaders, folder, f"b{i}-leaders")
+            absorbed_parts.append(absorbed)
+        within = edges_of(batch_signed, batch_signed, f"b{i}-within")
+        edges, found = _cut_counted(within, folder, f"b{i}-edges", F.count(F.lit(1)))
+        members = _settle(edges, found, folder, f"b{i}")
+        if members is not None:
+            joined = edges.join(members.select(F.col("b").alias("a")), "a", "left_anti")
+            absorbed_parts.append(joined.groupBy("b").agg(F.min("a").alias("a")))
+            batch = batch.join(members.select(F.col("b").alias("node")), "node", "left_anti")
+        new_leaders = batch if high is None else cut(batch, folder, f"b{i}-leaders")
         leader_ids = new_leaders if leader_ids is None else leader_ids.unionByName(new_leaders)
-    found = members.select(F.col("b").alias("node"), F.col("a").alias("leader"))
-    return found.unionByName(leader_ids.select("node", F.col("node").alias("leader")))
+    result = leader_ids.select("node", F.col("node").alias("leader"))
+    for part in absorbed_parts:
+        result = result.unionByName(part.select(F.col("b").alias("node"), F.col("a").alias("leader")))
+    return result
 
 
 def _batch_bounds(ids: DataFrame, total: int, first_batch: int, growth: int) -> list[tuple[int | None, int | None]]:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +58,15 @@ def normalize(df: DataFrame, order: str = "Index", threshold: float = 0.85, n: i
         ("Modifier", "Web_Modifier", "Modifier_Raw"),
     ):
         df = merge_sources(df, output, web, ai)
-    normalized = {}
-    for column, kind in (("Concept_Noun", "noun"), ("Category_Type", "category"), ("Modifier", "generic")):
-        result = normalize_column(df, column, order, kind, threshold, n, unicode_ngrams, **tuning)
-        normalized[column] = result
+    kinds = {"Concept_Noun": "noun", "Category_Type": "category", "Modifier": "generic"}
+
+    def one(column: str) -> Normalized:
+        return normalize_column(df, column, order, kinds[column], threshold, n, unicode_ngrams, **tuning)
+
+    # The columns are independent, so their small jobs share the cluster instead of waiting in line.
+    with ThreadPoolExecutor(len(kinds)) as pool:
+        tasks = {c: pool.submit(inheritable_thread_target(df.sparkSession)(one), c) for c in kinds}
+        normalized = {c: task.result() for c, task in tasks.items()}
     for column, result in normalized.items():
         df = apply_mapping(df, column, result.mapping, column)
     # Brands keep their own spelling: clustering would ruin short codes.

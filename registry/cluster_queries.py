@@ -48,12 +48,16 @@ def _(t):
     return C.collision_clusters(t("lines"), "line", "pos")
 
 
-_GRAM_KEY = f"case when length({D.gram_text('value')}) < 2 then {D.gram_text('value')} else array_to_string({D.grams(D.gram_text('value'))}, '') end"
-
-
 @register(
     "ngram_clusters",
-    D.query(["lines"], _COLLISION("lines", "line", "pos", _GRAM_KEY), "select * from clusters where variants >= 2"),
+    D.query(
+        ["lines"],
+        {
+            **_COLLISION("lines", "line", "pos", f"case when length(t) < 2 then t else array_to_string({D.grams('t')}, '') end"),
+            "c": f"select *, {D.gram_text('value')} as t from (select line as value, count(*) as n, min(pos) as first_pos from lines where line is not null group by 1)",
+        },
+        "select * from clusters where variants >= 2",
+    ),
 )
 def _(t):
     return C.collision_clusters(t("lines"), "line", "pos", method="ngram")
@@ -288,7 +292,7 @@ def _(t):
 
 _BRAND_KEYED = f"select *, lower(trim(concept_noun_raw)) || '|' || {D.fingerprint('modifier_raw')} as k from items"
 _REVIEW = {
-    "keyed": _BRAND_KEYED.replace("select *", "select *, case when p_size < 30 then 'A' else p_size end as cat"),
+    "keyed": _BRAND_KEYED.replace("select *", "select *, case when p_size < 30 then 'A' else cast(p_size as varchar) end as cat"),
     **D.consensus("f", "keyed", "k", "cat"),
     "shown": "select k, cat, count(*) as n, min(idx) as pos from keyed group by 1, 2",
 }

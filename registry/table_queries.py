@@ -585,13 +585,13 @@ def _(t):
     "drill_down",
     D.query(
         ["items"],
-        {**_RESULT, "picked": "select distinct Normalized_Description from result where AI_Confidence = 'low' and Needs_Review = 0"},
+        {**_RESULT, "picked": "select distinct Normalized_Description from result where AI_Confidence = 'high' and Brand is null"},
         "select idx, Description, Brand from result where Normalized_Description in (select Normalized_Description from picked)",
     ),
 )
 def _(t):
     result = _result(t)
-    picked = result.filter("AI_Confidence = 'low' and Needs_Review = 0")
+    picked = result.filter("AI_Confidence = 'high' and Brand is null")
     return P.drill_down(result, picked).select("idx", "Description", "Brand")
 
 
