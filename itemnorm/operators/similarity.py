@@ -158,20 +158,21 @@ def candidates(
     """Distinct pairs ``(a, b)``, a < b, that share a signature and could be near.
 
     ``salt=False`` is for a caller who knows that either side has at most ``limit`` nodes."""
-    keys = list(SIGNATURE)
+    keys, itself = list(SIGNATURE), left is right
     if salt:
         left, right, keys = _split_hot(left, right, folder, name, limit)
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    pairs = left.alias("a").join(
-        right.alias("b"),
-        same
-        + [
-            F.col("a.node") < F.col("b.node"),
-            F.col("a.own") | F.col("b.own"),
-            _could_be_near(threshold),
-        ],
-    )
-    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    one, other = F.col("a.node"), F.col("b.node")
+    if itself:
+        # The smaller set, or either one within a band, always meets the other with its own rows.
+        left = left.filter("own")
+        met = F.when(F.col("b.own"), one < other).otherwise(one != other)
+        pair = [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+    else:
+        met = (one < other) & (F.col("a.own") | F.col("b.own"))
+        pair = [one.alias("a"), other.alias("b")]
+    pairs = left.alias("a").join(right.alias("b"), [*same, met, _could_be_near(threshold)])
+    return pairs.select(*pair).distinct()
 
 
 def with_payload(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
