@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .report import duration_text
+from .report import duration_text, fixed_text
 
 # Prices of one search, tokens per call, seconds per row and calls in parallel.
 SEARCH_PRICE = {"google": 5.0 / 1000, "perplexity": 0.003}
@@ -108,7 +108,7 @@ def simple_estimate(batches: DataFrame, prices: DataFrame) -> DataFrame:
         "batch",
         "model",
         n.alias("total_rows"),
-        F.when(known, F.format_string("$%.2f", F.bround(cost, 2))).otherwise(F.lit("Unknown")).alias("cost_text"),
+        F.when(known, F.concat(F.lit("$"), fixed_text(cost, 2))).otherwise(F.lit("Unknown")).alias("cost_text"),
         seconds.alias("seconds"),
         F.when(known, duration_text(seconds)).otherwise(F.lit("Unknown")).alias("time_text"),
     )

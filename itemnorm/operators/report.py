@@ -142,10 +142,32 @@ def confidence_label(c: Column | str) -> Column:
     return label
 
 
+# Twice a power of ten as a falling sum of powers of two: each product below is exact.
+EXACT_STEPS = {0: (2,), 1: (16, 4), 2: (128, 64, 8)}
+
+
+def fixed_text(x: Column | str, digits: int) -> Column:
+    """A non-negative double with 0 to 2 decimals, rounded by its exact value and half to even, as C's printf
+    does. ``format_string`` rounds the shortest decimal form half up instead."""
+    x = as_col(x)
+    scale = 10**digits
+    k = F.floor(x * scale)
+    first, *others = EXACT_STEPS[digits]
+    # The sign of x minus the middle between k and k+1; no step of the sum rounds near the middle.
+    above = x * first - (k * 2 + 1)
+    for step in others:
+        above = above + x * step
+    up = F.when(above > 0, F.lit(1)).when(above < 0, F.lit(0)).otherwise(k % 2)
+    n = k + up
+    if digits == 0:
+        return n.cast("string")
+    return F.concat(F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))
+
+
 def duration_text(seconds: Column | str) -> Column:
     s = as_col(seconds)
     return (
-        F.when(s < 60, F.format_string("%.0fs", F.bround(s, 0)))
-        .when(s < 3600, F.format_string("%.1f min", F.bround(s / 60, 1)))
-        .otherwise(F.format_string("%.1f hours", F.bround(s / 3600, 1)))
+        F.when(s < 60, F.concat(fixed_text(s, 0), F.lit("s")))
+        .when(s < 3600, F.concat(fixed_text(s / 60, 1), F.lit(" min")))
+        .otherwise(F.concat(fixed_text(s / 3600, 1), F.lit(" hours")))
     )
