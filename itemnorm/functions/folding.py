@@ -68,6 +68,16 @@ def _expanding_pattern() -> str:
     return f"[{_ranges(list(_tables()[2]))}\\x{{{HANGUL_FIRST:x}}}-\\x{{{HANGUL_LAST:x}}}]"
 
 
+LATIN_END = 0x250
+
+
+@lru_cache(maxsize=1)
+def _worth_checking_pattern() -> str:
+    """A short class that covers the long one: few ranges decide most Western texts quickly."""
+    latin = [c for c in _tables()[2] if ord(c) < LATIN_END]
+    return f"[{_ranges(latin)}\\x{{{LATIN_END:x}}}-\\x{{{sys.maxunicode:x}}}]"
+
+
 def _char(code: Column) -> Column:
     """The character of a code point in the basic plane."""
     return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
@@ -98,7 +108,8 @@ def fold_accents(text: Column) -> Column:
         ),
         "",
     )
-    widened = F.when(text.rlike(_expanding_pattern()), spread).otherwise(text)
+    expands = text.rlike(_worth_checking_pattern()) & text.rlike(_expanding_pattern())
+    widened = F.when(expands, spread).otherwise(text)
     return F.when(
         F.octet_length(text) > F.length(text), F.translate(widened, source, target)
     ).otherwise(text)

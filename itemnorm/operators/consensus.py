@@ -57,13 +57,16 @@ def apply_consensus(df: DataFrame, columns: list[str], key_column: Column | None
     keyed = df.withColumn("_key", key_column if key_column is not None else item_key())
     # One pass over the table counts all columns together; the votes work on that small table.
     joint = keyed.groupBy("_key", *columns).agg(F.count("*").alias("_n"))
-    out = keyed
-    for c in columns:
+    winners = None
+    for i, c in enumerate(columns):
         value = F.coalesce(F.col(c), F.lit(""))
         tallies = joint.groupBy("_key", value.alias("category")).agg(F.sum("_n").alias("n"))
-        winners = consensus(tallies, "_key").select("_key", F.col("winner").alias("_winner"))
-        out = out.join(winners, "_key", "left").withColumn(c, F.coalesce("_winner", c)).drop("_winner")
-    return out.drop("_key").select(*df.columns)
+        found = consensus(tallies, "_key").select("_key", F.col("winner").alias(f"_winner{i}"))
+        winners = found if winners is None else winners.join(found, "_key", "full")
+    # The table itself is joined once, whatever the number of columns.
+    out = keyed.join(winners, "_key", "left")
+    out = out.withColumns({c: F.coalesce(f"_winner{i}", c) for i, c in enumerate(columns)})
+    return out.select(*df.columns)
 
 
 def category_clusters(df: DataFrame, key_columns: list[str], category: str) -> DataFrame:

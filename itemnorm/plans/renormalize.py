@@ -164,7 +164,9 @@ def run(
         answered = answered.join(web, order, "left")
     answered = _with_blank_columns(answered, list(WEB_COLUMNS.values()))
     failed = items.select(order, "Description").join(first.filter("error is not null"), order)
-    result = renormalize(decide(answered.drop("error")), order, **options)
+    # The decided rows are the stored checkpoint from which everything after can be run again.
+    decided = cut(decide(answered.drop("error")), folder, "decided")
+    result = renormalize(decided, order, **options)
     return select_output(result.table), failed.select(
         F.col(order).alias("index"), F.substring("Description", 1, 100).alias("description"), "error"
     )

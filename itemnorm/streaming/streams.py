@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -57,9 +58,8 @@ def process_stream(
 
 def finished_rows(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """Rows stored so far, of batches before the given one; None if there are none."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder) or not files.listStatus(folder):
-        return None
-    rows = spark.read.parquet(path)
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException:
+        return None  # nothing stored yet
     return rows if before is None else rows.filter(F.col("batch") < before)
