@@ -32,6 +32,8 @@ log = logging.getLogger(__name__)
 SKETCH_WORDS = 4
 SIGNATURE = ["level", "part", "signature"]
 TINY = 1e-9
+# Rounds after which the members found so far become one table, to keep the plan short.
+COMPACT_EVERY = 16
 
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -261,6 +263,8 @@ def _settle(edges: DataFrame, open_count: int, folder: str, name: str) -> DataFr
         state, open_count = _cut_counted(step, folder, f"{name}-round{rounds}", F.count_if(F.col("kind") == "edge"))
         new = state.filter("kind = 'member'").select("b")
         members = new if members is None else members.unionByName(new)
+        if rounds % COMPACT_EVERY == 0:
+            members = cut(members, folder, f"{name}-members{rounds}")
         open_edges = state.filter("kind = 'edge'").select("a", "b")
     log.info("leader rounds: %d", rounds)
     return members
@@ -284,7 +288,9 @@ def greedy_leaders(
     spark = nodes.sparkSession
     folder = work_folder(spark)
     token_threshold = token_threshold or threshold
-    total = nodes.count()
+    total, distinct = nodes.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
+    if distinct != total:
+        raise ValueError("the order column must differ from row to row")
     if total == 0:
         return nodes.select("node", F.col("node").alias("leader"))
 

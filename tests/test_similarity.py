@@ -136,6 +136,20 @@ def test_collision_clusters_use_exact_values(spark):
         C.collision_clusters(df, "v", "i", method="other")
 
 
+def test_order_must_be_unique(spark):
+    df = spark.createDataFrame([(1, "valve"), (1, "gasket"), (2, "nut")], "i long, v string")
+    with pytest.raises(ValueError):
+        C.normalize_column(df, "v", "i")
+
+
+def test_long_chain_settles(spark, monkeypatch):
+    """Every node resembles the next only: odd ones join, even ones lead, after many rounds."""
+    monkeypatch.setattr(S, "COMPACT_EVERY", 3)
+    nodes = spark.createDataFrame([(i, [str(k) for k in range(i * 2, i * 2 + 6)]) for i in range(15)], "node long, tokens array<string>")
+    rows = S.greedy_leaders(nodes, 0.5, S.jaccard_verify(nodes, 0.5)).collect()
+    assert {r.node: r.leader for r in rows} == {i: i - i % 2 for i in range(15)}
+
+
 def test_summary(spark):
     """valf (of valves), valve and nut remain of the lower-case values valve, valves and nut."""
     df = spark.createDataFrame([(1, "valve"), (2, "Valve"), (3, "valves"), (4, "nut")], "i long, v string")
