@@ -67,6 +67,24 @@ def category_list_text(categories: DataFrame) -> DataFrame:
     return categories.agg(F.array_join(lines, "\n").alias("categories"))
 
 
+def level_options(categories: DataFrame) -> DataFrame:
+    """``(parent, options)``: the lines of the children below every path, for a level request. Each list goes
+    into a request, so the largest one is size-checked first."""
+    edges = taxonomy_levels(categories)
+    sizes = edges.groupBy("parent").agg(F.sum(F.length("child") + 4).alias("size"))
+    if (sizes.agg(F.max("size")).first()[0] or 0) > REQUEST_LIMIT:
+        raise ValueError("too many categories below one parent for a request")
+    lines = F.array_sort(F.collect_list(F.concat(F.lit("  - "), "child")))
+    return edges.groupBy("parent").agg(F.array_join(lines, "\n").alias("options"))
+
+
+def attach_level_options(items: DataFrame, chosen: str, categories: DataFrame) -> DataFrame:
+    """Add ``options``, the categories below the path chosen so far; empty at a leaf."""
+    options = level_options(categories).select(F.col("parent").alias("_parent"), "options")
+    joined = items.join(options, F.col(chosen) == F.col("_parent"), "left")
+    return joined.withColumn("options", F.coalesce("options", F.lit(""))).drop("_parent")
+
+
 def validate_category(items: DataFrame, category: str, categories: DataFrame) -> DataFrame:
     """Keep a category that the taxonomy holds exactly; move any other to ``proposed_category``."""
     valid = categories.select(F.col("category").alias("_valid")).distinct()

@@ -71,7 +71,7 @@ def _(t):
             "c": f"select trim(description) as value, count(*) as n, min(idx) as pos from items where not {D.blank('description')} group by 1",
             "k": f"select *, {D.fingerprint('value')} as key from c",
         },
-        "select key, lower(first(value order by n desc, (value = lower(value)) desc, length(value), pos)) as canonical, sum(n) as n_rows from k group by key",
+        "select key, lower(first(value order by n desc, (value = lower(value)) desc, length(value), pos)) as canonical, cast(sum(n) as bigint) as n_rows from k group by key",
     ),
 )
 def _(t):
@@ -283,7 +283,7 @@ _CHOSEN = f"select *, lower(trim(category_type_raw)) || '|' || {D.fingerprint('m
     D.query(
         ["items"],
         {"keyed": _CHOSEN, **D.consensus("f", "keyed", "k", "final_category")},
-        "select key as cluster_key, winner as canonical, variants, total as total_rows from f_win",
+        "select key as cluster_key, winner as canonical, variants, cast(total as bigint) as total_rows from f_win",
     ),
 )
 def _(t):
@@ -311,7 +311,7 @@ def _with_cat(t):
             "texts": "select k, string_agg(coalesce(cat, '') || ' (' || n || ')', ' ⚫ ' order by n desc, pos) as variants from shown group by k",
             "heads": "select k, arg_min(concept_noun_raw || ' + ' || modifier_raw, idx) as clustering_key from keyed group by k",
         },
-        """select key as cluster_key, true as approve, clustering_key, cast(0 as bigint) as page, texts.variants as variants, winner as normalize_to, total as total_rows
+        """select key as cluster_key, true as approve, clustering_key, cast(0 as bigint) as page, texts.variants as variants, winner as normalize_to, cast(total as bigint) as total_rows
         from f_win join texts on texts.k = key join heads on heads.k = key where f_win.variants > 1""",
     ),
 )
@@ -347,7 +347,7 @@ _ITEM_CLUSTERS = _COLLISION("items", "description", "idx", D.fingerprint("value"
         ["items"],
         _ITEM_CLUSTERS,
         """select cluster_key, true as approve, cast(0 as bigint) as page, string_agg(value || ' (' || n || ')', ' | ' order by n desc, first_pos) as variants,
-          first(value order by n desc, first_pos) as normalize_to, '' as exclude, count(*) as variant_count, sum(n) as total_rows
+          first(value order by n desc, first_pos) as normalize_to, '' as exclude, count(*) as variant_count, cast(sum(n) as bigint) as total_rows
         from clusters where variants >= 2 group by cluster_key""",
     ),
 )

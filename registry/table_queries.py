@@ -560,6 +560,42 @@ def _(t):
     return Y.taxonomy_summary(t("paths"))
 
 
+_LEVEL_ITEMS = "select idx, description, case when final_category = '' then '' else final_category end as chosen from items"
+
+
+def _level_sql() -> str:
+    import string
+
+    pieces = {"description": "description", "context": "''", "evidence": "''", "categories": "coalesce(options, '')", "level": "'2'"}
+    parts = []
+    for literal, name, _, _ in string.Formatter().parse(E.LEVEL_REQUEST):
+        if literal:
+            parts.append(_q(literal))
+        if name:
+            parts.append(f"({pieces[name]})")
+    return " || ".join(parts)
+
+
+@register(
+    "level_request_text",
+    D.query(
+        ["items", "paths"],
+        {
+            "chosen": _LEVEL_ITEMS,
+            "s": "select distinct string_split(category, '|')[1] as parent, string_split(category, '|')[2] as child from paths",
+            "o": "select parent, string_agg('  - ' || child, chr(10) order by child) as options from s group by 1",
+        },
+        f"select idx, {_level_sql()} as request from chosen left join o on chosen = parent where chosen <> ''",
+    ),
+)
+def _(t):
+    """Second step of the drill-down: the children of the first level already chosen."""
+    items = t("items").select("idx", "description", F.col("final_category").alias("chosen")).filter("chosen <> ''")
+    asked = Y.attach_level_options(items, "chosen", t("paths"))
+    request = E.request_text("description", categories=F.col("options"), layout=E.LEVEL_REQUEST, level=2)
+    return asked.select("idx", request.alias("request"))
+
+
 # --- reports ------------------------------------------------------------------------------------
 
 
@@ -653,7 +689,7 @@ _PROFILE = {
     D.query(
         ["items"],
         {"shown": "select idx, description, nullif(brand_raw, '') as brand, nullif(concept_noun_raw, 'nan') as noun from items", **_PROFILE},
-        "select col as \"column\", non_null, nulls, distinct_values, coalesce(samples, '') as samples from tot left join smp using (col)",
+        "select col as \"column\", cast(non_null as bigint) as non_null, cast(nulls as bigint) as nulls, distinct_values, coalesce(samples, '') as samples from tot left join smp using (col)",
     ),
 )
 def _(t):
