@@ -23,7 +23,7 @@ def chosen_key(columns: list[str]) -> Column:
 
 
 def tally(df: DataFrame, key: str, category: str) -> DataFrame:
-    """``(key, category, n, first)``: rows per category value in a cluster; null counts as empty.
+    """``(key, category, n)``: rows per category value in a cluster; null counts as empty.
 
     Combines map-side, so a hot cluster arrives as one row per category and task."""
     value = F.coalesce(F.col(category), F.lit(""))

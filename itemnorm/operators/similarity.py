@@ -178,10 +178,13 @@ def candidates(
 
 
 def with_payload(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-    """Attach ``column`` of both nodes as ``left`` and ``right``."""
+    """Attach ``column`` of both nodes as ``left`` and ``right``.
+
+    The leader of a dense group is the ``a`` of very many pairs. Its join comes last, when the rows already carry
+    the other payload, so that adaptive execution sees the true size of the hot key and splits it."""
     left = nodes.select(F.col("node").alias("a"), F.col(column).alias("left"))
     right = nodes.select(F.col("node").alias("b"), F.col(column).alias("right"))
-    return pairs.join(left, "a").join(right, "b")
+    return pairs.join(right, "b").join(left, "a")
 
 
 def jaccard_verify(nodes: DataFrame, threshold: float) -> Verify:
@@ -201,7 +204,7 @@ def sequence_ratio() -> Callable[[Column, Column], Column]:
 
         import pandas as pd
 
-        # The matcher indexes its second text, so the rows of one later text are cheap in sequence.
+        # The matcher indexes its second text; the index is kept while that text stays the same.
         matcher = SequenceMatcher(None)
         out = []
         last = None

@@ -103,7 +103,7 @@ def _picks(t):
     part = t("part")
     catalog = G.attribute_catalog(part.sparkSession)
     picks = part.select(F.col("p_brand").alias("item_set"), (F.col("p_size") % 47).alias("ordinal")).distinct()
-    return catalog, picks.join(F.broadcast(catalog.select("ordinal", "name")), "ordinal").select("item_set", "name")
+    return catalog, picks.join(catalog.select("ordinal", "name"), "ordinal").select("item_set", "name")
 
 
 @register(
