@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from .common import map_rows
 #: Fixed value: the pre-tokenisation pattern of byte-level vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 256
-CACHE = 1 << 17
+CACHE = 1 << 18
 SEGMENT = 1 << 18
 _NONE = 1 << 60
 
@@ -129,18 +130,23 @@ class Encoder:
 
 
 class _Known(dict):
-    """Words met before, up to a bound."""
+    """Words met before, in two generations: when the younger is full it becomes the older, and words that are
+    still in use come back from there."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = np.array(self.encoder.parts(word.encode()), np.int32).tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("i", self.encoder.parts(word.encode())).tobytes()
         if len(word) <= 64:
             self[word] = ids
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
         return ids
 
 
