@@ -131,6 +131,18 @@ def _hash_piece(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, mix((run[end] - run[start]) * down[start])
 
 
+def hash_starts(text: bytes, start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which words have more than ``n`` bytes, and the hash of those words' first ``n`` bytes."""
+    buf = np.frombuffer(text, np.uint8)
+    more = end - start > n
+    start = start[more]
+    up, _ = _powers(n)
+    value = np.zeros(start.size, np.uint64)
+    for k in range(n):
+        value += _BYTE[buf[start + k]] * up[k]
+    return more, mix(value + np.uint64(n))
+
+
 def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start, byte end and hash of each word ``[0-9a-z\\x80-\\xff]+`` of a UTF-8 text, A-Z lower-cased.
 
