@@ -150,27 +150,39 @@ class _Known(dict):
         return ids
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` plus ``ids``, the token ids of ``text``. ``path`` names the vocabulary file, which every machine
-    has (a file of a bounded size, read once per task)."""
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` plus ``ids``, the token ids of ``text``, and ``decoded``, the text decoded from them, if named.
+    ``path`` names the vocabulary file, which every machine has (a file of a bounded size, read once per task)."""
 
     def make():
-        encoder = Encoder(Vocabulary(path))
+        vocabulary = Vocabulary(path)
+        encoder = Encoder(vocabulary)
 
         def work(texts):
             made = [encoder.encode(t) if t else b"" for t in texts]
             ends = np.cumsum([0] + [len(m) // 4 for m in made])
             values = pa.array(np.frombuffer(b"".join(made), np.int32))
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
+            out = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
+            if decoded:
+                out.append(pa.array([decode_ids(np.frombuffer(m, np.int32), vocabulary.tokens) for m in made], pa.string()))
+            return out
 
         return work
 
-    adds = T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType(), True))])
-    return map_rows(docs.drop(ids), [text], docs.drop(ids).columns, adds, make)
+    adds = [T.StructField(ids, T.ArrayType(T.IntegerType(), True))]
+    if decoded:
+        adds.append(T.StructField(decoded, T.StringType()))
+    kept = [c for c in docs.columns if c not in (ids, decoded)]
+    return map_rows(docs, [text], kept, T.StructType(adds), make)
+
+
+def decode_ids(ids: np.ndarray, tokens: list[bytes]) -> str:
+    """The text of token ids; bytes that are no UTF-8 become the replacement character."""
+    return b"".join(map(tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 def decoder(path: str):
-    """A column function from ids to text; bytes that are no UTF-8 become the replacement character."""
+    """A column function from ids to text; null becomes the empty text."""
     state: list[list[bytes]] = []
 
     @F.pandas_udf("string")
@@ -179,8 +191,7 @@ def decoder(path: str):
 
         if not state:
             state.append(Vocabulary(path).tokens)
-        token = state[0].__getitem__
-        return pd.Series([b"".join(map(token, x.tolist())).decode("utf-8", "replace") if x is not None else "" for x in ids])
+        return pd.Series([decode_ids(x, state[0]) if x is not None else "" for x in ids])
 
     return decode
 
@@ -192,10 +203,10 @@ def ids_text(ids: Column) -> Column:
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: number of tokens and digests of its ids and of the text decoded from them."""
-    coded = encode(docs.select(key, text), path, text)
+    coded = encode(docs.select(key, text), path, text, "ids", "decoded")
     return coded.select(
-        key,
+        F.col(key),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids_text(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(decoder(path)("ids"), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
