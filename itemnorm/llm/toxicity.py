@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     known = known.groupBy(key).agg(F.max(label).alias("_y"))
     chosen = known.orderBy(F.crc32(F.reverse(F.col(key).cast("string")).cast("binary")), key).limit(TRAIN_ROWS)
-    rows = docs.select(key, text).where(F.col(text).isNotNull()).join(chosen, key)
+    rows = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(chosen), key)  # TRAIN_ROWS at most
 
     def make():
         def work(texts):
