@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itemnorm.session import cut, work_folder
-
-__all__ = ["cut", "work_folder"]
+from itemnorm.session import cut, work_folder  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

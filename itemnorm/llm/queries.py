@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, sharding, toxicity
+from . import bpe, decontaminate, sharding, toxicity, weighted_minhash
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(placed, "doc_id", [1.0] * (SHARDS + 1), "grown_shard")
     out = sharding.with_slots(placed, "shard", ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@register("op10_minhash")
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.decide(read(spark, sf_dir, "documents").select("doc_id", "text"))
