@@ -13,8 +13,8 @@ def components(edges: DataFrame, folder: str, name: str = "components") -> DataF
 
     Each turn hooks the larger neighbours of a node, and then its smaller ones, to the smallest node around it,
     which leaves a star per component after a logarithmic number of turns. A hub's neighbours are never gathered:
-    the minimum is an aggregation with map-side combine, and the rows meet it in a join that may be split.
-    Every turn is a written table; the one before it is removed.
+    the minimum is an aggregation with map-side combine, written first, so that the rows meet it in a join of two
+    plain shuffles, which Spark splits where a key is hot. Every turn is a written table; the one before it is removed.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
@@ -22,7 +22,7 @@ def components(edges: DataFrame, folder: str, name: str = "components") -> DataF
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")), folder, f"{name}-{turn}-around")
         large = (
             both.where("v > u")
             .join(least, "u")
@@ -31,13 +31,13 @@ def components(edges: DataFrame, folder: str, name: str = "components") -> DataF
             .distinct()
         )
         large = cut(large, folder, f"{name}-{turn}-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), folder, f"{name}-{turn}-below")
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         turn += 1
         after = cut(small, folder, f"{name}-{turn}")
-        remove(spark, f"{folder}/{name}-{turn - 1}")
-        remove(spark, f"{folder}/{name}-{turn - 1}-large")
+        for done in ("", "-large", "-around", "-below"):
+            remove(spark, f"{folder}/{name}-{turn - 1}{done}")
         before, mark = mark, _mark(after)
         now = after
         if before == mark:

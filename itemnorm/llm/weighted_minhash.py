@@ -185,11 +185,11 @@ def verified(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     return map_rows(joined, ["ra", "wa", "rb", "wb"], ["a", "b"], adds, make).where("near").select("a", "b")
 
 
-def shared_bands(classes: DataFrame) -> DataFrame:
+def shared_bands(classes: DataFrame, folder: str, name: str) -> DataFrame:
     """(band, _content) of the bands with several classes; other columns of ``classes`` stay."""
     each = classes.select(*[c for c in classes.columns if c != "_bands"], F.explode("_bands").alias("band"))
     full = each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    return each.join(full, "band")
+    return each.join(cut(full, folder, name), "band")
 
 
 def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", keeps: list[str] | None = None,
@@ -209,7 +209,7 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", keeps: list
     if roots is not None:
         named = decided.join(roots, decided["_content"] == roots["node"], "left")
         named = named.select("_content", F.coalesce("root", "_content").alias("root"), "best")
-        tops = named.groupBy("root").agg(F.min("best").alias("top"))
+        tops = cut(named.groupBy("root").agg(F.min("best").alias("top")), folder, "tops")
         decided = named.join(tops, "root").select("_content", F.col("top").alias("best"))
     decided = decided.select(F.col("_content").alias("_c"), F.col("best.key").alias("_key"), F.col("best.row").alias("_top"))
     out = rows.join(decided, rows["_content"] == decided["_c"], "left")
@@ -223,7 +223,7 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", keeps: list
 
 def links(classes: DataFrame, docs: DataFrame, key: str, text: str, threshold: float, folder: str) -> DataFrame | None:
     """Edges (a, b) between classes that join all classes of a group of near copies; None without candidates."""
-    met = cut(shared_bands(classes.select("_content", "_bands")).select("_content").distinct(), folder, "met")
+    met = cut(shared_bands(classes.select("_content", "_bands"), folder, "full").select("_content").distinct(), folder, "met")
     if met.isEmpty():
         return None
     # texts of the candidates: by key first, then by what they say
@@ -246,9 +246,9 @@ def links(classes: DataFrame, docs: DataFrame, key: str, text: str, threshold: f
     able = sized.where(F.col("common") >= F.lit(threshold - 1e-9) * F.col("total"))
     look = F.struct("_content", "odd", "total").alias("own")
     able = cut(able.select("_content", (F.col("typical") / F.col("total")).alias("typical"), look), folder, "able")
-    members = cut(shared_bands(classes.select("_content", "_bands").join(able, "_content")), folder, "members")
+    members = cut(shared_bands(classes.select("_content", "_bands").join(able, "_content"), folder, "full-able"), folder, "members")
     heads = members.groupBy("band").agg(F.max(F.struct("typical", "own._content", "own")).alias("head"))
-    heads = heads.select("band", F.col("head.own").alias("head"))
+    heads = cut(heads.select("band", F.col("head.own").alias("head")), folder, "heads")
     pairs = members.join(heads, "band").where(may_be_near("own", "head", threshold))
     pairs = pairs.select(F.least("_content", "head._content").alias("a"), F.greatest("_content", "head._content").alias("b"))
     pairs = cut(pairs.where("a < b").distinct(), folder, "pairs")
@@ -258,7 +258,7 @@ def links(classes: DataFrame, docs: DataFrame, key: str, text: str, threshold: f
     placed = members.join(roots, members["_content"] == roots["node"], "left")
     placed = placed.select("band", "own", F.coalesce("root", "_content").alias("root"))
     split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    placed = cut(placed.join(split, "band"), folder, "apart")
+    placed = cut(placed.join(cut(split, folder, "split"), "band"), folder, "apart")
     other = placed.select("band", F.col("own").alias("other"), F.col("root").alias("other_root"))
     rest = placed.join(other, "band").where("own._content < other._content and root <> other_root")
     rest = rest.where(may_be_near("own", "other", threshold))
