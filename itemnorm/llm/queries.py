@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, sharding, toxicity, weighted_minhash
+from . import bpe, decontaminate, html_text, line_dedup, sharding, toxicity, weighted_minhash
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+@register("op5_html")
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @register(
     "op6_decontamination",
     r"""
