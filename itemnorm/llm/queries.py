@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, line_dedup, sharding, toxicity, weighted_minhash
+from . import bpe, decontaminate, html_text, itq, line_dedup, sharding, toxicity, weighted_minhash
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op2_itq")
+def op2_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_groups(read(spark, sf_dir, "embeddings"))
+
+
 @register("op3_line_dedup")
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
