@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, itq, line_dedup, sharding, toxicity, weighted_minhash
+from . import bpe, decontaminate, html_text, itq, licenses, line_dedup, sharding, tool_calls, toxicity, weighted_minhash
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,49 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+#: The tool of ``talk_with_tools``.
+TOOLS = {"lookup": {"query": ("string", True), "turn": ("integer", True), "limit": ("integer", False)}}
+
+
+def talk_with_tools(talk: DataFrame) -> DataFrame:
+    """The turns of ``conversations``, and for each assistant turn a lookup made from it: a call and its result.
+
+    The table has no tool calls of its own, so its assistant turns give them: the first word of the answer is the
+    query, or every fifth turn the result of the lookup two turns before; every seventh has an argument the tool does not know,
+    every eleventh lacks its query, every thirteenth has no result, and every third result stands before its call.
+    """
+    answer = talk.where(F.col("role") == "assistant")
+    t = F.col("turn")
+    name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    query = F.when(t % 5 == 0, F.concat(F.lit("$"), name(t - 2))).otherwise(F.substring_index("text", " ", 1))
+    call = F.struct(
+        name(t).alias("id"),
+        F.lit("lookup").alias("name"),
+        F.struct(
+            F.when(t % 11 != 0, query).alias("query"),
+            t.alias("turn"),
+            F.when(t % 7 != 0, t % 7).alias("limit"),
+            F.when(t % 7 == 0, F.lit("all")).alias("unit"),
+        ).alias("arguments"),
+    )
+    calls = answer.select("conv_id", (t * 4).alias("turn"), "role", F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
+    result = F.struct(name(t).alias("tool_call_id"), F.length("text").cast("string").alias("content"))
+    results = answer.where(t % 13 != 0).select(
+        "conv_id", (t * 4 + F.when(t % 3 == 0, -1).otherwise(1)).alias("turn"), F.lit("tool").alias("role"), F.to_json(result).alias("text")
+    )
+    return talk.select("conv_id", (t * 4 + 2).alias("turn"), "role", "text").unionByName(calls).unionByName(results)
+
+
+@register("op7_chat")
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(talk_with_tools(read(spark, sf_dir, "conversations")), TOOLS)
+
+
+@register("op8_licenses")
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read(spark, sf_dir, "documents"))
+
+
 @register("op9_sharding")
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(
