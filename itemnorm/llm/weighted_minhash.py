@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLDEN, cut, hash_batch, map_rows, mix, work_folder
+from .common import GOLDEN, cut, fresh, hash_batch, map_rows, mix, work_folder
 from .groups import components
 
 WORDS = 5
@@ -193,7 +193,7 @@ def shared_bands(classes: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", keeps: list[str] | None = None,
-           threshold: float = THRESHOLD) -> DataFrame:
+           threshold: float = THRESHOLD, names: tuple[str, str] = ("component_id", "kept")) -> DataFrame:
     """Every row of ``docs`` (columns ``key`` and ``keeps``) with ``component_id``, the smallest ``key`` of the
     documents it is linked to directly or through others, and ``kept``, true for one row of each such group: the one
     with the smallest key, and the first of several rows with that key."""
@@ -214,11 +214,8 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", keeps: list
     decided = decided.select(F.col("_content").alias("_c"), F.col("best.key").alias("_key"), F.col("best.row").alias("_top"))
     out = rows.join(decided, rows["_content"] == decided["_c"], "left")
     alone = F.col("_content").isNull()
-    return out.select(
-        *keeps,
-        F.when(alone, F.col(key)).otherwise(F.col("_key")).alias("component_id"),
-        (alone | (F.col("_row") == F.col("_top"))).alias("kept"),
-    )
+    made = (F.when(alone, F.col(key)).otherwise(F.col("_key")), alone | (F.col("_row") == F.col("_top")))
+    return out.select(*keeps, *[x.alias(n) for x, n in zip(made, names)])
 
 
 def links(classes: DataFrame, docs: DataFrame, key: str, text: str, threshold: float, folder: str) -> DataFrame | None:
@@ -283,4 +280,5 @@ def prints_only(docs: DataFrame, text: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group of near copies; columns unchanged."""
-    return decide(docs, key, text, docs.columns, threshold).where("kept").select(*docs.columns)
+    names = fresh(docs, "_component"), fresh(docs, "_kept")
+    return decide(docs, key, text, docs.columns, threshold, names).where(F.col(names[1])).select(*docs.columns)
