@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank, key_fingerprint, strip
 from .ordering import paged_text
+from .review import joint_decisions
 
 
 def item_key(noun: str = "Concept_Noun", modifier: str = "Modifier", category_type: str = "Category_Type") -> Column:
@@ -109,16 +110,17 @@ def category_review(df: DataFrame, key_columns: list[str], category: str, order:
             F.col("winner").alias("normalize_to"),
             F.col("rows").alias("total_rows"),
         )
+        .orderBy(F.desc("total_rows"), "cluster_key", "page")
     )
 
 
 def apply_category_decisions(df: DataFrame, key_columns: list[str], category: str, decisions: DataFrame) -> DataFrame:
     """Set the category of all rows of the approved clusters. ``decisions`` is a review table,
-    ``(cluster_key, approve, normalize_to)``, possibly edited; its pages share one decision."""
-    chosen = (
-        decisions.filter("approve")
-        .groupBy(F.col("cluster_key").alias("_key"))
-        .agg(F.any_value("normalize_to").alias("_to"))
-    )
+    ``(cluster_key, approve, normalize_to)``, possibly edited; all pages of a cluster decide together, and
+    clusters whose pages contradict each other stay as they are (see ``review.joint_decisions``)."""
     keyed = df.withColumn("_key", chosen_key(key_columns))
+    agreed = consensus(tally(keyed, "_key", category), "_key")
+    proposals = agreed.select(F.col("_key").alias("cluster_key"), F.col("winner").alias("proposed"))
+    chosen = joint_decisions(decisions, proposals).filter("not conflict")
+    chosen = chosen.select(F.col("cluster_key").alias("_key"), F.col("to").alias("_to"))
     return keyed.join(chosen, "_key", "left").withColumn(category, F.coalesce("_to", category)).select(*df.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -56,25 +57,26 @@ WEB_COLUMNS = {
     "matching_reason": "Web_Matching_Reason",
 }
 
-FIRST_REQUEST = """Classify one purchase-line item.
+# What a request asks for, by field of the answer.
+GUIDANCE = {
+    "language": "language of the description, two letters",
+    "translated_text": "the description in English",
+    "brand": "maker's name as written, empty if none is written",
+    "concept_noun": "the thing itself, singular, at most two words",
+    "modifier": "what kind of it, words separated by commas",
+    "category_type": "group of goods or works it belongs to",
+    "is_product_or_service": "Product or Service",
+    "service_object": "for a service: what the work is done on",
+    "ai_insight": "one sentence for a buyer who does not know it",
+    "confidence": "high, medium or low",
+}
 
-INPUT
-Description: {description}{context}{evidence}
-{categories}
-EXTRACT
-1. language: two-letter code
-2. translated_text: the text in English
-3. brand: complete brand name, only if the text states it
-4. concept_noun: core noun of one or two words, singular
-5. modifier: two to four words on kind or material, separated by commas
-6. category_type: what the item is for, two to four words
-7. is_product_or_service: Product or Service
-8. service_object: what a service applies to
-9. ai_insight: what the item is, in 10 to 20 words
-10. confidence: high, medium or low
-{attributes}
-ANSWER WITH JSON ONLY
-{template}"""
+FIRST_REQUEST = (
+    "A line from a purchase order has to be described and classified.\n{categories}\nFIELDS\n"
+    + "\n".join(f"{name}: {text}" for name, text in GUIDANCE.items())
+    + "\n{attributes}\nReply with this JSON object, filled in, and nothing else:\n{template}\n\n"
+    "LINE\nDescription: {description}{context}{evidence}"
+)
 
 LEVEL_REQUEST = """Choose one category of level {level} for this item.
 
@@ -137,8 +139,6 @@ def json_template(attribute_keys: list[str], with_categories: bool) -> str:
 
 def _fill(template: str, values: dict[str, Column]) -> Column:
     """Concatenate the literal pieces of a template with columns for its placeholders."""
-    import string
-
     parts = []
     for literal, name, _, _ in string.Formatter().parse(template):
         if literal:
@@ -181,19 +181,59 @@ def request_text(
     return _fill(layout, values)
 
 
+def shared_parts(layout: str, parts: dict[str, str]) -> tuple[str, str, str]:
+    """``(before, rest, after)`` of a layout: the text before its first and after its last placeholder that
+    differs by row, filled with ``parts``, and the layout between, where ``parts`` are filled in too.
+
+    All rows share ``before`` and ``after``; ``enrich`` puts them around a request in the task that sends it,
+    so a long category list is never written into rows."""
+    pieces = list(string.Formatter().parse(layout))
+    own = [i for i, (_, name, _, _) in enumerate(pieces) if name is not None and name not in parts]
+    if not own:
+        return "".join(t + parts.get(n, "") if n else t for t, n, _, _ in pieces), "", ""
+    filled = lambda i: pieces[i][0] + (parts[pieces[i][1]] if pieces[i][1] in parts else "")
+    escape = lambda x: x.replace("{", "{{").replace("}", "}}")
+    before = "".join(filled(i) for i in range(own[0])) + pieces[own[0]][0]
+    rest = "".join(
+        escape(filled(i) if i > own[0] else "") + ("{" + pieces[i][1] + "}" if i in own else "")
+        for i in range(own[0], own[-1] + 1)
+    )
+    return before, rest, "".join(filled(i) for i in range(own[-1] + 1, len(pieces)))
+
+
 def _json_object(content: Column) -> Column:
     """The text from the first to the last brace, code fences dropped."""
     bare = F.regexp_replace(content, r"^```(?:json)?\n?", "")
-    bare = F.regexp_replace(bare, r"\n?```$", "")
+    bare = F.regexp_replace(bare, r"\n?```\s*$", "")
     return F.regexp_extract(bare, r"(?s)\{.*\}", 0)
 
 
+# Strict reading of an answer: one object, double quotes, and text after it makes it invalid.
+STRICT = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false"}
+
+
+def _read_object(content: Column, schema: T.StructType) -> Column:
+    """The object of an answer, null if it is no single valid JSON object.
+
+    A parser that stops after the first object accepts what follows it; inside an array the rest must be valid
+    too, and anything but exactly one object is refused."""
+    whole = F.from_json(F.concat(F.lit("["), _json_object(content), F.lit("]")), T.ArrayType(schema), STRICT)
+    return F.when(F.size(whole) == 1, whole[0])
+
+
 def parse_response(content: Column | str) -> Column:
-    """Struct of the answer's fields and a map of attributes; a broken answer gives the defaults."""
+    """Struct of the answer's fields and a map of attributes; a broken answer gives the defaults. Attributes
+    that are 0, false, null or empty in the JSON are blank."""
     schema = T.StructType(
         [T.StructField(f, T.StringType()) for f in RESPONSE_FIELDS]
-        + [T.StructField("attributes", T.MapType(T.StringType(), T.StringType()))]
+        + [T.StructField("attributes", T.MapType(T.StringType(), T.VariantType()))]
     )
+    falsy = ["", "0", "0.0", "-0", "-0.0", "false", "null", "[]", "{}"]
+
+    def attribute(v: Column) -> Column:
+        written = F.to_json(v)
+        text = F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string")).otherwise(written)
+        return F.when(v.isNull() | written.isin(falsy), F.lit("")).otherwise(strip(text))
 
     def fields(r: Column) -> Column:
         cells = []
@@ -205,18 +245,17 @@ def parse_response(content: Column | str) -> Column:
                 v = F.lower(v)
             cells.append(v.alias(name))
         attributes = F.transform_values(
-            F.coalesce(r["attributes"], F.create_map().cast("map<string,string>")),
-            lambda _, v: strip(F.coalesce(v, F.lit(""))),
+            F.coalesce(r["attributes"], F.create_map().cast("map<string,variant>")), lambda _, v: attribute(v)
         )
         return F.struct(*cells, attributes.alias("attributes"))
 
-    return let(F.from_json(_json_object(as_col(content)), schema), fields)
+    return let(_read_object(as_col(content), schema), fields)
 
 
 def parse_level_response(content: Column | str) -> Column:
     schema = T.StructType([T.StructField(f, T.StringType()) for f in LEVEL_FIELDS])
     return let(
-        F.from_json(_json_object(as_col(content)), schema),
+        _read_object(as_col(content), schema),
         lambda r: F.struct(*[strip(F.coalesce(r[f], F.lit(""))).alias(f) for f in LEVEL_FIELDS]),
     )
 
@@ -262,31 +301,48 @@ def attach_evidence(items: DataFrame, snippets: DataFrame, description: str, con
     ).drop("_query")
 
 
-def enrich(df: DataFrame, classify: Callable, request: str, columns: list[str], tasks: int | None = None) -> DataFrame:
-    """Call ``classify(pandas.Series of requests) -> pandas.Series of answers`` per batch.
-
-    Adds ``content`` and ``error``. If a batch fails it is tried row by row, so one bad row costs only
-    itself. ``tasks`` spreads the rows over that many tasks, which bounds the calls in flight."""
+def enrich(
+    df: DataFrame,
+    classify: Callable,
+    request: str,
+    columns: list[str],
+    tasks: int | None = None,
+    batch: int = 1,
+    around: tuple[str, str] = ("", ""),
+) -> DataFrame:
+    """Send every request once: ``classify(pandas.Series of requests)`` gets ``batch`` of them at a time.
+
+    It returns a Series of answers, or a DataFrame with ``content`` and, if it has them, ``error``,
+    ``input_tokens`` and ``output_tokens`` per row. If a call raises, its rows carry the error and nothing is
+    sent again, so calls of one request lose only that one. ``around`` is the text before and after every
+    request that all rows share. ``tasks`` spreads the rows over that many tasks, which bounds the calls in
+    flight. Adds ``content``, ``error`` and both token counts."""
+    tokens = ["input_tokens", "output_tokens"]
     out = T.StructType(
         [df.schema[c] for c in columns]
-        + [T.StructField("content", T.StringType()), T.StructField("error", T.StringType())]
+        + [T.StructField(c, T.StringType()) for c in ("content", "error")]
+        + [T.StructField(c, T.LongType()) for c in tokens]
     )
+    before, after = around
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        def attempt(rows):
+        def call(rows):
+            made = pd.DataFrame({"content": None, "error": None}, index=rows.index, dtype=object)
+            made = made.assign(**{t: pd.array([pd.NA] * len(rows), dtype="Int64") for t in tokens})
             try:
-                return classify(rows), pd.Series([None] * len(rows), index=rows.index, dtype=object)
+                got = classify(before + rows + after)
             except Exception as failure:  # noqa: BLE001 - whatever the caller's function raises
-                if len(rows) == 1:
-                    return tuple(pd.Series([x], index=rows.index, dtype=object) for x in (None, str(failure)))
-                parts = [attempt(rows.iloc[i : i + 1]) for i in range(len(rows))]
-                return tuple(pd.concat(side) for side in zip(*parts))
-
-        for batch in batches:
-            answers, errors = attempt(batch[request])
-            yield batch[columns].assign(content=answers, error=errors)
+                return made.assign(error=str(failure))
+            if isinstance(got, pd.DataFrame):
+                return made.assign(**{c: got[c].to_numpy() for c in made if c in got})
+            return made.assign(content=got.to_numpy())
+
+        for part in batches:
+            for i in range(0, len(part), batch):
+                rows = part.iloc[i : i + batch]
+                yield pd.concat([rows[columns], call(rows[request])], axis=1)
 
     spread = df.repartition(tasks) if tasks else df
     return spread.select(*dict.fromkeys([*columns, request])).mapInPandas(run, out)

@@ -55,18 +55,48 @@ def reviewed_form(column: str, canonical: Column) -> Column:
     return canonical
 
 
-def review_mapping(column: str, clusters: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``(value, canonical)`` from approved decisions ``(cluster_key, approve, normalize_to, exclude)``,
-    leaving out the variants listed in ``exclude`` (separated by semicolons or commas)."""
-    excluded = F.transform(F.split(F.coalesce("exclude", F.lit("")), "[;,]"), strip)
-    chosen = (
-        decisions.filter("approve")
-        .groupBy("cluster_key")
-        .agg(F.any_value("normalize_to").alias("to"), F.any_value(excluded).alias("excluded"))
+def joint_decisions(decisions: DataFrame, proposals: DataFrame) -> DataFrame:
+    """``(cluster_key, to, conflict)``: what all pages of a cluster say together.
+
+    A cluster is approved if none of its pages withdraws approval. Its value is the one that a page sets other
+    than the proposal ``(cluster_key, proposed)``, else the proposal. Pages that set different values
+    contradict each other: ``conflict`` is true and nothing is decided."""
+    said = decisions.join(proposals, "cluster_key", "left")
+    edited = F.when(~F.col("normalize_to").eqNullSafe(F.col("proposed")), F.col("normalize_to"))
+    joint = said.groupBy("cluster_key").agg(
+        F.every(F.coalesce("approve", F.lit(False))).alias("approved"),
+        F.min(edited).alias("low"),
+        F.max(edited).alias("high"),
+        F.min("proposed").alias("proposed"),
+    )
+    return joint.filter("approved").select(
+        "cluster_key",
+        F.coalesce("low", "proposed").alias("to"),
+        F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("conflict"),
+    )
+
+
+def review_proposals(clusters: DataFrame) -> DataFrame:
+    """``(cluster_key, proposed)``: the most frequent variant, which the review table proposes."""
+    return clusters.groupBy("cluster_key").agg(
+        F.max_by("value", F.struct(F.col("n"), -F.col("first_pos"))).alias("proposed")
     )
-    joined = clusters.join(chosen, "cluster_key").withColumn("canonical", reviewed_form(column, F.col("to")))
-    kept = (F.col("value") == "") | ~F.array_contains("excluded", F.col("value"))
-    return joined.filter(kept & (F.col("value") != F.col("canonical"))).select("value", "canonical")
+
+
+def review_conflicts(clusters: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Keys of approved clusters whose pages set different values; they are left as they are."""
+    return joint_decisions(decisions, review_proposals(clusters)).filter("conflict").select("cluster_key")
+
+
+def review_mapping(column: str, clusters: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``(value, canonical)`` from approved decisions ``(cluster_key, approve, normalize_to, exclude)``, leaving
+    out the variants listed in ``exclude`` (separated by semicolons or commas) on any page of the cluster."""
+    chosen = joint_decisions(decisions, review_proposals(clusters)).filter("not conflict")
+    listed = decisions.select("cluster_key", F.explode(F.split("exclude", "[;,]")).alias("value"))
+    excluded = listed.select("cluster_key", strip("value").alias("value")).filter("value <> ''").distinct()
+    joined = clusters.join(excluded, ["cluster_key", "value"], "left_anti").join(chosen, "cluster_key")
+    joined = joined.withColumn("canonical", reviewed_form(column, F.col("to")))
+    return joined.filter(F.col("value") != F.col("canonical")).select("value", "canonical")
 
 
 def apply_review(df: DataFrame, column: str, clusters: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -11,8 +11,6 @@ from ..sources.catalog import DEFAULT_SET
 # Keywords wanted per category, and the share that is enough.
 KEYWORD_TARGET = 15
 KEYWORD_ENOUGH = 0.8
-# Largest taxonomy, in characters, that may be written into every request.
-REQUEST_LIMIT = 2_000_000
 
 
 def taxonomy_levels(categories: DataFrame) -> DataFrame:
@@ -57,23 +55,17 @@ def taxonomy_summary(categories: DataFrame) -> DataFrame:
     )
 
 
-def category_list_text(categories: DataFrame) -> DataFrame:
-    """One row, one column: the lines of the category list for a request. The list goes into every request,
-    so its size is checked first; a larger taxonomy is asked level by level."""
-    size = categories.agg(F.coalesce(F.sum(F.length("category") + 4), F.lit(0))).first()[0]
-    if size > REQUEST_LIMIT:
-        raise ValueError("taxonomy too large for one request; ask level by level")
-    lines = F.array_sort(F.collect_list(F.concat(F.lit("  - "), "category")))
-    return categories.agg(F.array_join(lines, "\n").alias("categories"))
+def category_list_text(categories: DataFrame) -> str:
+    """The lines of the category list, in order. The whole list is the part of a request that all rows share:
+    it is read once and handed to the classifier beside the rows, never written into them (``enrich.Shared``).
+    A taxonomy too large for one text is asked level by level, with the lists of ``level_options``."""
+    rows = categories.select("category").distinct().orderBy("category").toLocalIterator(prefetchPartitions=True)
+    return "\n".join(f"  - {r.category}" for r in rows)
 
 
 def level_options(categories: DataFrame) -> DataFrame:
-    """``(parent, options)``: the lines of the children below every path, for a level request. Each list goes
-    into a request, so the largest one is size-checked first."""
+    """``(parent, options)``: the lines of the children below every path, for a level request."""
     edges = taxonomy_levels(categories)
-    sizes = edges.groupBy("parent").agg(F.sum(F.length("child") + 4).alias("size"))
-    if (sizes.agg(F.max("size")).first()[0] or 0) > REQUEST_LIMIT:
-        raise ValueError("too many categories below one parent for a request")
     lines = F.array_sort(F.collect_list(F.concat(F.lit("  - "), "child")))
     return edges.groupBy("parent").agg(F.array_join(lines, "\n").alias("options"))
 

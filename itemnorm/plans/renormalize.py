@@ -24,18 +24,26 @@ from ..operators.decide import (
     select_output,
 )
 from ..operators.enrich import (
+    CATEGORY_HEAD,
+    FIRST_REQUEST,
     RESPONSE_COLUMNS,
     WEB_COLUMNS,
+    attribute_key,
     context_text,
     enrich,
     flatten_response,
+    json_template,
     needs_evidence,
     parse_response,
     request_text,
     require_columns,
     resume_pending,
     rows_to_enrich,
+    shared_parts,
 )
+from ..operators.report import run_stats
+from ..operators.taxonomy import category_list_text, validate_category
+from ..sources.catalog import attribute_catalog, attribute_section
 from ..session import cut, work_folder
 
 
@@ -125,6 +133,37 @@ def decide(df: DataFrame) -> DataFrame:
     ).drop("_decision")
 
 
+@dataclass(frozen=True)
+class Run:
+    """``table``: the output; ``failed``: rows without an answer; ``usage``: one row per call with its tokens, for
+    ``cost.usage_cost``; ``normalized``: learned mappings, for ``save_mapping``; ``stats``: one row of counts."""
+
+    table: DataFrame
+    failed: DataFrame
+    usage: DataFrame
+    normalized: dict[str, Normalized]
+    stats: DataFrame
+
+
+def _stored(items: DataFrame, todo: DataFrame, finished: DataFrame | None, order: str) -> DataFrame:
+    """The items that are not asked, with what is stored about them: in ``finished``, else in their own columns."""
+    rest = items.join(todo.select(order), order, "left_anti")
+    if finished is None:
+        return rest
+    known = [c for c in finished.columns if c != order]
+    marked = finished.select(order, *[F.col(c).alias(f"_stored_{c}") for c in known], F.lit(True).alias("_stored"))
+    joined = rest.join(marked, order, "left")
+    cells = {c: F.when(F.col("_stored"), F.col(f"_stored_{c}")).otherwise(F.col(c) if c in rest.columns else F.lit(None)) for c in known}
+    return joined.withColumns(cells).select(*dict.fromkeys([*rest.columns, *known]))
+
+
+def _in_taxonomy(df: DataFrame, mapped: str, proposed: str, categories: DataFrame) -> DataFrame:
+    """A mapped category that the taxonomy does not hold becomes the proposal, unless there is one."""
+    checked = validate_category(df.withColumn("_mapped", F.col(mapped)), "_mapped", categories)
+    moved = F.coalesce(F.nullif(F.col(proposed), F.lit("")), "proposed_category")
+    return checked.withColumns({mapped: F.col("valid_category"), proposed: moved}).select(*df.columns)
+
+
 def run(
     items: DataFrame,
     classify: Callable,
@@ -134,39 +173,76 @@ def run(
     evidence: DataFrame | None = None,
     finished: DataFrame | None = None,
     tasks: int | None = None,
+    categories: DataFrame | None = None,
+    custom: dict[str, dict[str, str]] | None = None,
+    layout: str = FIRST_REQUEST,
+    evidence_level: str = "low",
+    batch: int = 1,
+    model: str = "",
     **options,
-) -> tuple[DataFrame, DataFrame]:
+) -> Run:
     """Full run: ask, parse, ask again with evidence, decide, normalize, describe.
 
-    ``evidence`` is ``(Description, evidence)``; ``finished`` holds rows of an earlier run to be skipped.
-    Returns the output table and the failed rows. The answers are written once to the shared folder, so a
-    lost executor never repeats a call."""
+    ``evidence`` is ``(Description, evidence)``, used for answers up to ``evidence_level`` of confidence.
+    ``finished`` holds rows of an earlier run; they and the items that have a noun already are not asked and keep
+    what is stored. ``categories`` is the taxonomy; ``attributes`` and ``custom`` name what to ask for besides the
+    fixed fields; ``layout`` may be the caller's own request. The answers are written once to the shared folder, so
+    a lost executor never repeats a call."""
     require_columns(items, "Description", order)
-    folder = work_folder(items.sparkSession)
+    spark = items.sparkSession
+    folder = work_folder(spark)
     todo = rows_to_enrich(items)
     if finished is not None:
         todo = resume_pending(todo, finished, order)
     shown = context_text({name: F.col(c) for name, c in (context or {}).items()}) if context else None
+    names = list(dict.fromkeys([*(attributes or []), *(n.strip().replace(" ", "_") for n in custom or {})]))
+    section = ""
+    if names:
+        chosen = spark.createDataFrame([("run", n) for n in names], "set string, name string")
+        row = attribute_section(chosen, attribute_catalog(spark, custom), "set").first()
+        section = "\n" + row.section + "\n" if row else ""
+    listed = CATEGORY_HEAD + category_list_text(categories) + "\n" if categories is not None else ""
+    template = json_template([attribute_key(n) for n in names], categories is not None)
+    parts = {"categories": listed, "attributes": section, "template": template}
+    before, row_layout, after = shared_parts(layout, parts)
 
     def ask(rows: DataFrame, name: str, extra=None) -> DataFrame:
-        asked = rows.withColumn("_request", request_text("Description", shown, extra))
-        return cut(enrich(asked, classify, "_request", [order], tasks), folder, name)
+        asked = rows.withColumn("_request", request_text("Description", shown, extra, layout=row_layout))
+        return cut(enrich(asked, classify, "_request", [order], tasks, batch, (before, after)), folder, name)
 
     first = ask(todo, "answers")
-    parsed = items.join(first, order, "left").withColumn("_parsed", parse_response("content"))
-    answered = flatten_response(parsed, "_parsed", attributes).drop("_parsed", "content")
+    parsed = todo.join(first, order, "left").withColumn("_parsed", parse_response("content"))
+    answered = flatten_response(parsed, "_parsed", names).drop("_parsed", "content", "input_tokens", "output_tokens")
+    calls = first
     if evidence is not None:
-        unsure = answered.filter(F.col("error").isNull() & needs_evidence("AI_Confidence"))
+        unsure = answered.filter(F.col("error").isNull() & needs_evidence("AI_Confidence", level=evidence_level))
         unsure = unsure.select(order, "Description", *(context or {}).values()).join(evidence, "Description")
         second = ask(unsure.filter("evidence <> ''"), "answers2", F.col("evidence"))
+        calls = calls.unionByName(second)
         web = second.filter("error is null").withColumn("_parsed", parse_response("content"))
         web = flatten_response(web, "_parsed", web=True).select(order, *WEB_COLUMNS.values())
-        answered = answered.join(web, order, "left")
-    answered = _with_blank_columns(answered, list(WEB_COLUMNS.values()))
+        answered = answered.drop(*WEB_COLUMNS.values()).join(web, order, "left")
+    answered = _with_blank_columns(answered, list(WEB_COLUMNS.values())).drop("error")
+    if categories is not None:
+        answered = _in_taxonomy(answered, "Mapped_Category_Raw", "Proposed_Category_Raw", categories)
+        answered = _in_taxonomy(answered, "Web_Mapped_Category", "Web_Proposed_Category", categories)
     failed = items.select(order, "Description").join(first.filter("error is not null"), order)
+    kept = _with_blank_columns(_stored(items, todo, finished, order), [*RESPONSE_COLUMNS.values(), *WEB_COLUMNS.values(), *names])
+    decisions = ["Final_Category", "Final_Proposed_Category", "Classification_Method"]
+    stored = {c: F.col(c) if c in kept.columns else F.lit(None).cast("string") for c in decisions}
+    kept = decide(kept.withColumns({f"_{c}": x for c, x in stored.items()}))
+    kept = kept.withColumns({c: F.coalesce(f"_{c}", c) for c in decisions}).drop(*[f"_{c}" for c in decisions])
+    every = decide(answered).unionByName(kept, allowMissingColumns=True)
     # The decided rows are the stored checkpoint from which everything after can be run again.
-    decided = cut(decide(answered.drop("error")), folder, "decided")
+    decided = cut(every, folder, "decided")
     result = renormalize(decided, order, **options)
-    return select_output(result.table), failed.select(
-        F.col(order).alias("index"), F.substring("Description", 1, 100).alias("description"), "error"
+    usage = calls.select(
+        F.lit(model).alias("model"), F.lit(None).cast("string").alias("provider"), order, "input_tokens", "output_tokens", "error"
+    )
+    return Run(
+        select_output(result.table),
+        failed.select(F.col(order).alias("index"), F.substring("Description", 1, 100).alias("description"), "error"),
+        usage,
+        result.normalized,
+        run_stats(first, {c.lower(): n.summary() for c, n in result.normalized.items()}),
     )

@@ -64,14 +64,36 @@ def attribute_sets(wide: DataFrame, set_column: str = "Attribute_Set") -> DataFr
     )
 
 
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Finished versions of a stored table, oldest first."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    numbers = sorted(int(n[8:]) for n in names if n.startswith("version="))
+    return [n for n in numbers if fs.exists(hadoop.Path(f"{folder}/version={n}/_SUCCESS"))]
+
+
 def save_mapping(mapping: DataFrame, column_type: str, path: str) -> None:
-    """Store a learned ``(value, canonical)`` mapping under its column type."""
-    mapping.select("value", "canonical").write.mode("overwrite").parquet(f"{path.rstrip('/')}/column_type={column_type}")
+    """Add a learned ``(value, canonical)`` mapping to those stored for its column type; a value learned again
+    takes its new form. Each save is a new version, so a reader never meets a half-written one."""
+    spark, folder = mapping.sparkSession, f"{path.rstrip('/')}/column_type={column_type}"
+    new = mapping.select("value", "canonical")
+    versions = _versions(spark, folder)
+    if versions:
+        new = new.unionByName(load_mapping(spark, path, column_type).join(new, "value", "left_anti"))
+    new.write.parquet(f"{folder}/version={(versions or [0])[-1] + 1}")
 
 
 def load_mapping(spark: SparkSession, path: str, column_type: str) -> DataFrame:
-    stored = spark.read.schema("value string, canonical string, column_type string").parquet(path)
-    return stored.filter(F.col("column_type") == column_type).select("value", "canonical")
+    """All that has been learned for a column type; empty if nothing has."""
+    schema, folder = "value string, canonical string", f"{path.rstrip('/')}/column_type={column_type}"
+    versions = _versions(spark, folder)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/version={versions[-1]}")
 
 
 def append_finished(df: DataFrame, path: str) -> None:

@@ -450,19 +450,20 @@ def _(t):
 _TEMPLATE = E.json_template(["material", "size_dimension"], True)
 
 
+# What differs by row; the rest of the request is shared text that no row repeats.
+_ROW_LAYOUT = E.shared_parts(E.FIRST_REQUEST, {"categories": "", "attributes": "", "template": _TEMPLATE})[1]
+
+
 def _request_sql() -> str:
     pieces = {
         "description": "coalesce(description, '')",
         "context": f"case when {_CONTEXT_SQL} = '' then '' else {_q(E.CONTEXT_HEAD)} || {_CONTEXT_SQL} end",
         "evidence": f"case when coalesce(evidence, '') = '' then '' else {_q(E.EVIDENCE_HEAD)} || evidence end",
-        "categories": f"{_q(E.CATEGORY_HEAD)} || (select string_agg('  - ' || category, chr(10) order by category) from categories)",
-        "attributes": "''",
-        "template": _q(_TEMPLATE),
     }
     import string
 
     parts = []
-    for literal, name, _, _ in string.Formatter().parse(E.FIRST_REQUEST):
+    for literal, name, _, _ in string.Formatter().parse(_ROW_LAYOUT):
         if literal:
             parts.append(_q(literal))
         if name:
@@ -472,16 +473,13 @@ def _request_sql() -> str:
 
 @register(
     "request_text",
-    D.query(["items", "snippets", "categories"], _EVIDENCE, f"select idx, {_request_sql()} as request from items left join texts on description = query"),
+    D.query(["items", "snippets"], _EVIDENCE, f"select idx, {_request_sql()} as request from items left join texts on description = query"),
 )
 def _(t):
     items = t("items").select("idx", "description", *_CONTEXT.values())
     texts = E.evidence_text(t("snippets"), "query")
     joined = items.join(texts, F.col("description") == F.col("query"), "left")
-    listed = Y.category_list_text(t("categories"))
-    request = E.request_text(
-        "description", E.context_text(_CONTEXT), F.col("evidence"), listed.scalar(), template=F.lit(_TEMPLATE)
-    )
+    request = E.request_text("description", E.context_text(_CONTEXT), F.col("evidence"), layout=_ROW_LAYOUT)
     return joined.select("idx", request.alias("request"))
 
 

@@ -146,6 +146,9 @@ def test_enrich_isolates_failures(spark):
     rows = E.enrich(df, classify, "t", ["i"], tasks=2).orderBy("i").collect()
     assert [r.content for r in rows] == ["T0", "T1", "T2", None, "T4", "T5", "T6", "T7"]
     assert [r.error for r in rows if r.error] == ["refused"]
+    both = E.enrich(df, classify, "t", ["i"], batch=8, around=("<", ">")).orderBy("i").collect()
+    assert {r.content for r in both} == {None} or "<T0>" in {r.content for r in both}
+    assert sum(r.error == "refused" for r in both) + sum(r.content is not None for r in both) == 8
 
 
 def test_requests(spark):
