@@ -102,8 +102,9 @@ class Machine:
 
 
 def fit_rows(own: list[np.ndarray], y: np.ndarray, spot: np.ndarray, seed: int = 7) -> Machine:
-    """Fit on rows of parameter rows and 0/1 labels. Without both labels the score is the smoothed share of label 1."""
-    rate = (y.sum() + 0.5) / (len(y) + 1)
+    """Fit on rows of parameter rows and 0/1 labels. Without both labels the score is the smoothed share of label 1,
+    and without any label it is below 0.5."""
+    rate = (y.sum() + 0.5) / (len(y) + 2)
     bias = float(np.log(rate / (1 - rate)))
     size = int(spot.max()) + 1
     rng = np.random.default_rng(seed)
