@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,21 +31,28 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, available_now:
     return writer.outputMode("append").trigger(availableNow=True).start() if available_now else writer.start()
 
 
+# Finished rows are stored by the hash of their key, so a batch reads only the parts its keys fall into.
+BUCKETS = 256
+
+
 def process_stream(
     stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "Index"
 ) -> StreamingQuery:
     """Run ``work`` on every batch and store its result in a folder of its own.
 
     A batch that is repeated after a failure overwrites its own folder, and rows finished by earlier batches
-    are skipped, so every key is stored once."""
+    are skipped, so every key is stored once. ``work`` keeps ``key``."""
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         todo = batch.dropDuplicates([key])
         earlier = finished_rows(spark, path, batch_id)
         if earlier is not None:
-            todo = resume_pending(todo, earlier, key)
-        work(todo).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            touched = [r[0] for r in todo.select(bucket).distinct().collect()]  # BUCKETS at most
+            todo = resume_pending(todo, earlier.filter(F.col("bucket").isin(touched)), key)
+        done = work(todo).withColumn("bucket", bucket)
+        done.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(store)
@@ -57,9 +63,9 @@ def process_stream(
 
 
 def finished_rows(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Rows stored so far, of batches before the given one; None if there are none."""
-    try:
-        rows = spark.read.parquet(path)
-    except AnalysisException:
-        return None  # nothing stored yet
+    """Rows stored so far, of batches before the given one; None if no batch has stored rows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch=*/bucket=*")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+        return None
+    rows = spark.read.parquet(path)
     return rows if before is None else rows.filter(F.col("batch") < before)

@@ -323,16 +323,21 @@ def _(t):
     "apply_category_review",
     D.query(
         ["items"],
-        _REVIEW,
-        """select idx, case when f_win.variants > 1 and total < 60 then winner else cat end as cat
-        from keyed left join f_win on f_win.key = k""",
+        {**_REVIEW, "counted": "select k, count(*) as shown_values from shown group by k"},
+        """select idx, case when f_win.variants > 1 and shown_values <= 4 then case when shown_values > 2 then 'CHECKED' else winner end else cat end as cat
+        from keyed left join f_win on f_win.key = keyed.k left join counted on counted.k = keyed.k""",
     ),
 )
 def _(t):
-    """The reviewer approves the clusters of fewer than 60 rows."""
+    """Pages of two: the reviewer sets another value on second pages and withdraws approval on third ones."""
     items = _with_cat(t)
     keys = ["concept_noun_raw", "modifier_raw"]
-    review = V.category_review(items, keys, "cat", "idx").withColumn("approve", F.col("total_rows") < 60)
+    review = V.category_review(items, keys, "cat", "idx", page_size=2).withColumns(
+        {
+            "approve": F.col("page") != 2,
+            "normalize_to": F.when(F.col("page") == 1, F.lit("CHECKED")).otherwise(F.col("normalize_to")),
+        }
+    )
     return V.apply_category_decisions(items, keys, "cat", review).select("idx", "cat")
 
 
@@ -356,24 +361,28 @@ def _(t):
 
 
 def _reviewed(t):
-    """Decisions of a reviewer: large clusters approved, the upper-case form excluded."""
+    """Pages of two, each edited in its own way: first pages exclude the upper-case form, the others the first
+    variant they show; clusters of five, ten, ... variants lose their approval on the second page."""
     items = t("items").withColumnRenamed("concept_noun_raw", "Concept_Noun_Merged")
     clusters = C.collision_clusters(items, "Concept_Noun_Merged", "idx")
-    decisions = R.cluster_review(clusters).select(
+    shown_first = F.substring_index("variants", " (", 1)
+    decisions = R.cluster_review(clusters, page_size=2).select(
         "cluster_key",
-        (F.col("total_rows") > 30).alias("approve"),
+        "page",
+        (~((F.col("variant_count") % 5 == 0) & (F.col("page") == 1))).alias("approve"),
         "normalize_to",
-        F.concat(F.upper("cluster_key"), F.lit("; spare")).alias("exclude"),
+        F.when(F.col("page") == 0, F.concat(F.upper("cluster_key"), F.lit("; spare"))).otherwise(shown_first).alias("exclude"),
     )
     return items, R.apply_review(items, "Concept_Noun_Merged", clusters, decisions)
 
 
 _APPLIED = {
     **_COLLISION("items", "concept_noun_raw", "idx", D.fingerprint("value")),
-    "shared": "select * from clusters where variants >= 2",
-    "decided": "select cluster_key, first(value order by n desc, first_pos) as to_value, sum(n) as total from shared group by 1",
+    "shared": """select *, row_number() over (partition by cluster_key order by n desc, first_pos) - 1 as place,
+      count(*) over (partition by cluster_key) as members from clusters where variants >= 2""",
+    "decided": "select cluster_key, first(value order by n desc, first_pos) as to_value from shared where members % 5 <> 0 group by 1",
     "forms": f"""select value, {D.singular_review('lower(to_value)')} as canonical from shared join decided using (cluster_key)
-      where total > 30 and value <> upper(cluster_key) and value <> 'spare'""",
+      where value <> upper(cluster_key) and value <> 'spare' and not (place >= 2 and place % 2 = 0)""",
     "applied": "select idx, concept_noun_raw as before, coalesce(forms.canonical, concept_noun_raw) as after from items left join forms on forms.value = concept_noun_raw",
 }
 
