@@ -44,11 +44,13 @@ def benchmark_items(df: DataFrame, order: str, brands: int = 3, top: int | None
     """Per normalized description: rows, first distinct brands in order, first noun; most frequent first."""
     key = "Normalized_Description"
     keyed = df.filter(F.col(key).isNotNull())
-    totals = keyed.groupBy(key).agg(
-        F.count("Description").alias("Count"),
-        F.min_by("Concept_Noun", F.when(F.col("Concept_Noun").isNotNull(), F.col(order))).alias("Concept_Noun"),
+    noun = F.when(F.col("Concept_Noun").isNotNull(), F.struct(F.col(order).alias("at"), F.col("Concept_Noun").alias("noun")))
+    # One pass over the table; both results below come from its small rows.
+    counted = keyed.groupBy(key, "Brand").agg(
+        F.count("Description").alias("_n"), F.min(order).alias("_pos"), F.min(noun).alias("_noun")
     )
-    per_brand = keyed.filter(F.col("Brand").isNotNull()).groupBy(key, "Brand").agg(F.min(order).alias("_pos"))
+    totals = counted.groupBy(key).agg(F.sum("_n").alias("Count"), F.min("_noun")["noun"].alias("Concept_Noun"))
+    per_brand = counted.filter(F.col("Brand").isNotNull())
     first = first_per_group(per_brand, [key], [F.col("_pos")], brands, "_rank")
     listed = first.groupBy(key).agg(
         F.array_join(

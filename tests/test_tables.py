@@ -250,3 +250,47 @@ def test_cost(spark):
 
 def test_blank_rule_of_the_model():
     assert is_blank(" ") and is_blank("NaN") and not is_blank(" nan ")
+
+
+def test_pages_of_a_review_decide_together(spark):
+    from itemnorm.operators import review as R
+
+    rows = [("k", f"v{i}", 9 - i, i) for i in range(5)] + [("m", "a", 3, 0), ("m", "b", 2, 1), ("m", "c", 1, 2)]
+    clusters = spark.createDataFrame(rows, "cluster_key string, value string, n long, first_pos long")
+    review = R.cluster_review(clusters, page_size=2)
+    assert [(r.cluster_key, r.page, r.variants) for r in review.collect()][:3] == [
+        ("k", 0, "v0 (9) | v1 (8)"), ("k", 1, "v2 (7) | v3 (6)"), ("k", 2, "v4 (5)")]
+
+    def edited(**cells):
+        out = review
+        for name, (key, page, value) in cells.items():
+            here = (F.col("cluster_key") == key) & (F.col("page") == page)
+            name = name.rstrip("2")
+            out = out.withColumn(name, F.when(here, F.lit(value)).otherwise(F.col(name)))
+        return out
+
+    mapping = lambda d: {r.value: r.canonical for r in R.review_mapping("x", clusters, d).collect()}
+    every = mapping(review)
+    assert every == {"v1": "v0", "v2": "v0", "v3": "v0", "v4": "v0", "b": "a", "c": "a"}
+    assert set(every) - set(mapping(edited(exclude=("k", 1, "v3; v1")))) == {"v1", "v3"}
+    assert set(mapping(edited(approve=("k", 2, False)))) == {"b", "c"}
+    assert mapping(edited(normalize_to=("m", 1, "Z"))) == {**every, "a": "Z", "b": "Z", "c": "Z"}
+    torn = edited(normalize_to=("k", 1, "Y"), normalize_to2=("k", 2, "X"))
+    assert set(mapping(torn)) == {"b", "c"} and [r[0] for r in R.review_conflicts(clusters, torn).collect()] == ["k"]
+
+
+def test_guidance_covers_the_catalog():
+    from itemnorm.sources import catalog as G
+
+    rows = {r[2]: r for r in G.catalog_rows()}
+    assert set(rows) == set(G.HINTS) and len(rows) == 47
+    assert rows["IP_Rating"][1:] == ("Electrical", "IP_Rating", "ip_rating", "ingress code of the housing", "IP20", "IP54")
+
+
+def test_answers_are_read_strictly(spark):
+    texts = ['{"brand":"SKF","attributes":{"material":"steel","n":0,"b":false,"z":"0","x":null}}', "{'brand': 'SKF'}",
+             '{"brand":"SKF"} or maybe {"brand":"ABB"}', '```json\n{"brand":"ABB"}\n```']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, c string")
+    got = [r.p for r in df.select("i", E.parse_response("c").alias("p")).orderBy("i").collect()]
+    assert [p.brand for p in got] == ["SKF", "", "", "ABB"]
+    assert got[0].attributes == {"material": "steel", "n": "", "b": "", "z": "0", "x": ""}
