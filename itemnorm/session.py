@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -35,7 +37,10 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 @lru_cache(maxsize=1)
 def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="itemnorm-")
+    """A folder for the work tables of this process's local session; it goes when the process ends."""
+    made = tempfile.mkdtemp(prefix="itemnorm-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -48,6 +53,10 @@ def work_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = _local_base()
+    elif not spark.sparkContext.master.startswith("local") and "://" not in base:
+        files = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if files.startswith("file:"):
+            raise RuntimeError("spark.checkpoint.dir has no scheme and would be a folder of one machine; name its file system")
     return f"{base.rstrip('/')}/itemnorm-{uuid.uuid4().hex}"
 
 
