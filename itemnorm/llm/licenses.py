@@ -1,17 +1,22 @@
 """License notices in documents by conditional compression.
 
-Sentences with a licence word are candidate blocks. A block is compressed with zstandard alone and with each licence
+Sentences with a licence word are candidate blocks, and so are one or several whole lines of a sentence, as notices are
+wrapped and lines around them need not end in a full stop; comment marks at line starts do not count. A block is compressed with zstandard alone and with each licence
 template as raw dictionary; what the template saves is its size reduction. Templates are ranked by it, and the best
 ones are confirmed by the exact differences of wording: the block's words are aligned with the template's passage that
 fits best, and the licence is accepted if few words differ and none of the telling ones (numbers, licence names) does.
+Of accepted blocks that overlap, the one with the smallest share of differing words counts, and the longest of those.
 
-Null and empty texts have no notices. Blocks are sentences of any length; every text is read whole.
+Null and empty texts have no notices. Sentences have any length; every text is read whole.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
@@ -51,12 +56,16 @@ This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 Int
     "All-rights-reserved": """All rights reserved.
 Copyright. All rights reserved.""",
 }
+#: Between two words: also a line break, with a comment mark on the next line.
+GAP = r"\W+(?:(?:rem|dnl)\W+)?"
 #: Words without which a sentence is no candidate; the first form is for Java's expressions as well.
 CUES = (
     r"(?i)licen[cs]e|copyright|rights reserved|permission is hereby|redistribut|public license|creative commons"
-    r"|\bcc[ -]by\b|without warranties|free software"
-)
-SENTENCE = re.compile(r"(?<=[.!?:])\s+(?=[^\s\d])|\n+")
+    r"|\bcc by\b|without warranties|free software"
+).replace(" ", GAP)
+#: Ends of sentences, and other line breaks as a group: a notice may go on behind these.
+SENTENCE = re.compile(r"(?<=[.!?:])\s+(?=[^\s\d])|(\n+)")
+MARK = re.compile(r"\s*(?:(?:<!--|[/*#;%>|!\"']+|--+|(?:rem|dnl)\b)\s*)*", re.I)
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: A word that changes which licence it is.
 TELLING = re.compile(r"\d|^(?:by|nc|sa|nd|by-.*|mit|bsd|apache|gnu|lesser|affero|mozilla|attribution.*|noncommercial|sharealike|not)$")
@@ -75,7 +84,9 @@ class Scanner:
         for n, t in templates.items():
             raw = zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.primed[n] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)
-        self.cue = re.compile(CUES)
+        self.cue = re.compile(f"(?i)(?=({CUES.removeprefix('(?i)')}))")
+        self.bags = [(len(p), Counter(p)) for t in self.passages.values() for p in t]
+        self.longest = max((n for n, _ in self.bags), default=0) / (1 - DIFFERENT)
         self.known: dict[str, tuple | None] = {}
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
@@ -113,21 +124,60 @@ class Scanner:
         n, reduction, name, edits = min(fitting)
         return name, -reduction, n, edits
 
+    def possible(self, block: str) -> bool:
+        """Whether some passage has enough of the block's words, in any order."""
+        words = Counter(WORD.findall(block.lower()))
+        n = words.total()
+        return any(max(n, m) - (words & bag).total() <= DIFFERENT * max(n, 1) for m, bag in self.bags)
+
+    def verdict(self, block: str) -> tuple[str, float, int, list[str]] | None:
+        if block not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            self.known[block] = self.judge(block) if self.possible(block) else None
+        return self.known[block]
+
+    def sentences(self, text: str) -> Iterator[list[tuple[int, str]]]:
+        """The lines with words of each sentence, without comment marks: (place, line)."""
+        lines, at, i = [], 0, 0
+        for end in [*SENTENCE.finditer(text), None]:
+            line = text[at : end.start() if end else len(text)]
+            line = line[MARK.match(line).end() :].strip()
+            if WORD.search(line):
+                lines.append((i, line))
+            if end is None or end[1] is None:
+                yield lines
+                lines = []
+            at, i = end.end() if end else at, i + 1
+
     def scan(self, text: str | None) -> list[dict]:
-        """Notices in a text, in order: place of the sentence, licence, reduction, differences."""
-        found, at = [], 0
-        for i, block in enumerate(SENTENCE.split(text or "")):
-            if not self.cue.search(block):
+        """Notices in a text, in order: place of the first line among all lines and sentences, licence, reduction,
+        differences."""
+        found = []
+        for lines in self.sentences(text or ""):
+            whole = " ".join(line for _, line in lines)
+            cues = [m.span(1) for m in self.cue.finditer(whole)]
+            if not cues:
                 continue
-            block = block.strip()
-            if block not in self.known:
-                if len(self.known) > 10_000:
-                    self.known.clear()
-                self.known[block] = self.judge(block)
-            if verdict := self.known[block]:
-                name, reduction, n, edits = verdict
-                found.append({"sentence": i, "license": name, "reduction": reduction, "n_different": n, "different": edits})
-        return found
+            firsts, fitting, at = [a for a, _ in cues], [], 0
+            sizes = [len(WORD.findall(line)) for _, line in lines]
+            for a, (_, line) in enumerate(lines):
+                n, end = 0, at - 1
+                c = bisect_left(firsts, at)
+                for b in range(a, len(lines)):
+                    n, end = n + sizes[b], end + 1 + len(lines[b][1])
+                    if c == len(cues) or n > self.longest:
+                        break
+                    if cues[c][1] <= end and (v := self.verdict(whole[at:end])):
+                        fitting.append((v[2] / n, -n, a, b, v))
+                at += len(line) + 1
+            taken: set[int] = set()
+            for _, _, a, b, v in sorted(fitting, key=lambda x: x[:4]):
+                if taken.isdisjoint(range(a, b + 1)):
+                    taken.update(range(a, b + 1))
+                    name, reduction, n, edits = v
+                    found.append({"sentence": lines[a][0], "license": name, "reduction": reduction, "n_different": n, "different": edits})
+        return sorted(found, key=lambda x: x["sentence"])
 
 
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:

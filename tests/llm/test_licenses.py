@@ -40,3 +40,58 @@ def test_odd_rows(spark):
     got = [(r.doc_id, [n.license for n in r.notices]) for r in licenses.scan(df).collect()]
     assert sorted(got, key=str) == sorted([(1, []), (1, []), (None, ["MIT"]), (2, [])], key=str)
     assert licenses.report(df.limit(0)).count() == 0
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+You should have received a copy of the GNU General Public License
+along with this program."""
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// ", "REM ", "dnl "])
+@pytest.mark.parametrize("name, text, n", [("Apache-2.0", APACHE, 4), ("MIT", MIT, 2), ("BSD-3-Clause", BSD, 3), ("GPL-3.0", GPL, 2)])
+def test_wrapped_notices(scanner, name, text, n, mark):
+    marked = "\n".join(mark + line for line in text.split("\n"))
+    for before, after in (("", ""), ("Copyright 2020 The Authors\n\n", "\n\nimport os\n"), ("prose without an end\n", "\nand more")):
+        found = scanner.scan(before + marked + after)
+        assert [f["license"] for f in found] == [name] * n
+        # a sentence ends at the colon in "This program is free software:"
+        assert {e for f in found for e in f["different"]} <= {"-this", "-program", "-is", "-free", "-software"}
+
+
+def test_cue_over_a_line_break(spark):
+    rows = [(1, "x\nAll rights\nreserved."), (2, "// All rights\n// reserved."), (3, "REM All rights\nREM reserved.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.licenses for r in licenses.report(df).collect()} == dict.fromkeys((1, 2, 3), "All-rights-reserved")
