@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, itq, licenses, line_dedup, sharding, tool_calls, toxicity, weighted_minhash
+from . import bpe, decontaminate, html_text, itq, language, licenses, line_dedup, resample, sharding, tool_calls, toxicity, weighted_minhash
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,55 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_minhash")
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_minhash.decide(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register(
+    "op11_resample",
+    r"""
+WITH bit AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), CAST([1, 2, 3, 4, 5, 6, 7, 8] AS BIGINT[])),
+      lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c
+    FROM (SELECT unnest(range(0, 256)) AS b))
+), dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), d1 AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(words) AS w FROM dw) GROUP BY ALL
+), t1 AS (
+  SELECT w, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY w
+), crc AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2),
+      lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) % 10000 AS b
+  FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM d1 UNION SELECT w FROM t1)) CROSS JOIN bit
+), s AS (SELECT b, sum(n) AS s FROM d1 JOIN crc USING (w) GROUP BY b
+), t AS (SELECT b, sum(n) AS t FROM t1 JOIN crc USING (w) GROUP BY b
+), gain AS (
+  SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * CAST((SELECT coalesce(sum(s), 0) FROM s) + 10000 AS DOUBLE)
+    / ((s + 1) * CAST((SELECT coalesce(sum(t), 0) FROM t) + 10000 AS DOUBLE)))) AS BIGINT) AS g
+  FROM s LEFT JOIN t USING (b)
+), weight AS (SELECT doc_id, sum(n * g) AS weight FROM d1 JOIN crc USING (w) JOIN gain USING (b) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(words) AS n, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS score
+  FROM dw LEFT JOIN weight USING (doc_id)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n >= 20) AS m FROM scored
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN n >= 20 AND r <= 10 * m // 100 THEN CAST(r AS BIGINT) END AS rank
+FROM ranked
+""",
+)
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op12_language")
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    named = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return named.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
