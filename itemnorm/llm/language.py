@@ -35,6 +35,7 @@ BITS = 16
 SIZE = 16
 RUNS = (2, 3, 4)
 ROWS = 600
+PARTS = 64
 STRETCHES = (2, 8, 32)
 STEPS, BATCH, RATE = 1500, 32, 16.0
 ERROR = 0.01
@@ -179,7 +180,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str
     named = docs.select(F.col(key).alias("key"), F.col(language).alias("lang"), F.col(text).alias("text"))
     able = named.where(F.col("key").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("key")))
     place = F.crc32(F.reverse(F.col("key").cast("string")).cast("binary"))
-    chosen = first_per_group(able.select("key", "lang", place.alias("at")), ["lang"], [F.col("at"), F.col("key")], ROWS).drop("rank").distinct()
+    # in two steps, so that no task ranks the rows of a language that most documents have
+    order, part = [F.col("at"), F.col("key")], F.pmod(F.xxhash64("key"), F.lit(PARTS))
+    several = first_per_group(able.select("key", "lang", place.alias("at"), part.alias("part")), ["lang", "part"], order, ROWS)
+    chosen = first_per_group(several.drop("rank"), ["lang"], order, ROWS).select("key", "lang", "at").distinct()
     rows = able.join(F.broadcast(chosen), ["key", "lang"])  # ROWS of each language at most
     rows = rows.groupBy("key", "lang", "at").agg(F.min("text").alias("text"))
 

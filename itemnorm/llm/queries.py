@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, itq, language, licenses, line_dedup, resample, sharding, tool_calls, toxicity, weighted_minhash
-from .common import read
+from . import bpe, decontaminate, html_text, itq, language, licenses, line_dedup, prefix_trie, resample, sharding, tool_calls, toxicity, weighted_minhash
+from .common import cut, read, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -215,3 +215,70 @@ def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     named = language.identify(docs.select("doc_id", "text"), language.fit(docs))
     return named.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def borrowed(placed: DataFrame) -> DataFrame:
+    """(conv, pos, id, chars) of each conversation c rebuilt: its first h turns, h = crc32(c) mod 6, are those of conversation
+    c - c mod 100, as many as that has. At most a hundred conversations borrow from one, five turns each."""
+    h = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(6))
+    convs = placed.select("conv").distinct().select("conv", h.alias("h"), (F.col("conv") - F.col("conv") % 100).alias("base"))
+    lenders = placed.where((F.col("conv") % 100 == 0) & (F.col("pos") < 6)).withColumnRenamed("conv", "base")
+    lent = convs.where("h > 0").join(lenders, "base").where("pos <= h").select("conv", "pos", "id", "chars")
+    own = placed.withColumn("h", h).where("pos > h")
+    m = lent.groupBy("conv").agg(F.count(F.lit(1)).alias("m"))
+    own = own.join(m, "conv", "left").select("conv", (F.col("pos") - F.col("h") + F.coalesce("m", F.lit(0))).alias("pos"), "id", "chars")
+    return lent.unionByName(own)
+
+
+@register(
+    "op13_prefix_trie",
+    r"""
+WITH bit AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), CAST([1, 2, 3, 4, 5, 6, 7, 8] AS BIGINT[])),
+      lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c
+    FROM (SELECT unnest(range(0, 256)) AS b))
+), placed AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2),
+      lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) % 6 AS h
+  FROM (SELECT conv_id, hex(encode(CAST(conv_id AS VARCHAR))) AS h FROM (SELECT DISTINCT conv_id FROM placed)) CROSS JOIN bit
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, p.pos, p.role, p.text FROM convs c JOIN placed p ON p.conv_id = c.base AND p.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, p.pos, p.role, p.text FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.pos > c.h
+), step AS (
+  SELECT conv_id, role, text, md5(len(role) || ':' || role || text) AS id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d FROM rebuilt
+), path AS (
+  SELECT conv_id, d, len(text) AS chars, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY d) AS k, max(d) OVER (PARTITION BY conv_id) = d AS ends
+  FROM step
+), node AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS e
+  FROM path GROUP BY k, d
+), family AS (SELECT substr(k, 1, len(k) - 32) AS up, count(*) AS kids FROM node GROUP BY up
+), leaf AS (SELECT n.k, n.conv_id, n.d FROM node n LEFT JOIN family f ON f.up = n.k WHERE f.up IS NULL
+), leaves AS (SELECT substr(k, 1, 32 * u) AS k, count(*) AS n FROM (SELECT k, unnest(range(0, d + 1)) AS u FROM leaf) GROUP BY 1
+), saved AS (SELECT substr(k, 1, 32 * u) AS k, sum((n - 1) * chars) AS s FROM (SELECT k, n, chars, unnest(range(0, d + 1)) AS u FROM node) GROUP BY 1
+), root AS (
+  SELECT '' AS k, 0 AS d, min(conv_id) AS conv_id, count(*) AS n,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (conv_id NOT IN (SELECT conv_id FROM step)) AS e
+  FROM convs HAVING count(*) > 0
+), every AS (SELECT k, d, conv_id, n, e FROM node UNION ALL SELECT k, d, conv_id, n, e FROM root)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(v.n AS BIGINT) AS n_convs, CAST(coalesce(f.kids, 0) AS BIGINT) AS n_children,
+  CAST(coalesce(l.n, 1) AS BIGINT) AS n_leaves, CAST(coalesce(s.s, 0) AS BIGINT) AS saved_tokens, sha256(coalesce(v.e, '')) AS ends_sha256
+FROM every v LEFT JOIN every p ON v.d > 0 AND p.k = substr(v.k, 1, len(v.k) - 32) LEFT JOIN family f ON f.up = v.k
+LEFT JOIN leaves l ON l.k = v.k LEFT JOIN saved s ON s.k = v.k
+""",
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark)
+    placed = cut(prefix_trie.place_turns(read(spark, sf_dir, "conversations"), folder), folder, "turns")
+    convs = cut(placed.select("conv").distinct(), folder, "convs")
+    turns = cut(borrowed(placed), folder, "borrowed")
+    nodes, classes = prefix_trie.trie(turns, convs, folder)
+    return prefix_trie.with_end_digests(nodes, prefix_trie.end_digests(classes, folder))
