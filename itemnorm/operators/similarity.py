@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import set_similarity
 from ..session import cut, work_folder
+from .sequence import sequence_ratios
 
 log = logging.getLogger(__name__)
 
@@ -195,37 +196,11 @@ def jaccard_verify(nodes: DataFrame, threshold: float) -> Verify:
     return verify
 
 
-def sequence_ratio() -> Callable[[Column, Column], Column]:
-    """Ratcliff/Obershelp similarity of two texts, first argument first, as an Arrow UDF."""
-
-    @F.pandas_udf("double")
-    def ratio(left, right):
-        from difflib import SequenceMatcher
-
-        import pandas as pd
-
-        # The matcher indexes its second text; the index is kept while that text stays the same.
-        matcher = SequenceMatcher(None)
-        out = []
-        last = None
-        for x, y in zip(left, right):
-            if y != last:
-                matcher.set_seq2(y)
-                last = y
-            matcher.set_seq1(x)
-            out.append(matcher.ratio())
-        return pd.Series(out, dtype="float64")
-
-    return ratio
-
-
 def sequence_verify(nodes: DataFrame, threshold: float, column: str = "text") -> Verify:
     """``column`` holds the lower-case text. The ratio is not symmetric: always (earlier, later)."""
-    ratio = sequence_ratio()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        scored = with_payload(pairs, nodes, column).withColumn("similarity", ratio("left", "right"))
-        return scored.filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+        return sequence_ratios(with_payload(pairs, nodes, column), threshold)
 
     return verify
 

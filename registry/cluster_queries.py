@@ -124,6 +124,20 @@ _BITS = {
 }
 
 
+#: Greedy leaders over the table near (a, b): each node in order leads unless an earlier leader is near.
+_WALK = {
+    "linked": "select node, row_number() over (order by node) - 1 as i from (select a as node from near union select b from near)",
+    "nb": "select y.i as b, list(x.i order by x.i) as ns from near join linked x on x.node = near.a join linked y on y.node = near.b group by y.i",
+    "walk": """select cast(-1 as bigint) as i, cast([] as bigint[]) as leaders, cast(-1 as bigint) as lead
+      union all
+      select w.i + 1, case when x.l is null then list_append(w.leaders, w.i + 1) else w.leaders end, coalesce(x.l, w.i + 1)
+      from walk w left join nb on nb.b = w.i + 1,
+      lateral (select list_min(list_intersect(w.leaders, coalesce(nb.ns, cast([] as bigint[])))) as l) x
+      where w.i + 1 < (select count(*) from linked)""",
+    "led": "select m.node, l.node as leader from walk join linked m on m.i = walk.i join linked l on l.i = walk.lead",
+}
+
+
 @register("ngram_similar_pairs", D.query(["lines"], {**_LINE_KEYS, **_BITS}, "select left_key, right_key, similarity from near"))
 def _(t):
     return C.ngram_similar_pairs(line_keys(t), "key", "key_pos")
@@ -136,15 +150,7 @@ def _(t):
         {
             **_LINE_KEYS,
             **_BITS,
-            "linked": "select node, row_number() over (order by node) - 1 as i from (select a as node from near union select b from near)",
-            "nb": "select y.i as b, list(x.i order by x.i) as ns from near join linked x on x.node = near.a join linked y on y.node = near.b group by y.i",
-            "walk": """select cast(-1 as bigint) as i, cast([] as bigint[]) as leaders, cast(-1 as bigint) as lead
-              union all
-              select w.i + 1, case when x.l is null then list_append(w.leaders, w.i + 1) else w.leaders end, coalesce(x.l, w.i + 1)
-              from walk w left join nb on nb.b = w.i + 1,
-              lateral (select list_min(list_intersect(w.leaders, coalesce(nb.ns, cast([] as bigint[])))) as l) x
-              where w.i + 1 < (select count(*) from linked)""",
-            "led": "select m.node, l.node as leader from walk join linked m on m.i = walk.i join linked l on l.i = walk.lead",
+            **_WALK,
         },
         """select k.key, k.key_pos as position, coalesce(led.leader, n.node, k.key_pos) as cluster
         from keys k left join sets s on s.key = k.key left join nodes n on n.g = s.g left join led on led.node = n.node""",
@@ -155,12 +161,57 @@ def _(t):
     return C.leader_clusters(line_keys(t), "key", "key_pos")
 
 
-@register("fuzzy_similar_pairs")
+# The runs of equal characters of every pair, by diagonal, once; a segment's longest run is the longest one clipped to it.
+_SEQUENCE = {
+    "vals": "select lower(description) as t, min(idx) as node, arg_min(description, idx) as value from items where description is not null group by 1",
+    "chars": "select node, unnest(range(1, length(t) + 1)) as p, substr(t, unnest(range(1, length(t) + 1)), 1) as c from vals",
+    "two": """select x.node as a, y.node as b, length(x.t) as la, length(y.t) as lb from vals x join vals y
+      on x.node < y.node and 2 * least(length(x.t), length(y.t)) >= 0.8 * (length(x.t) + length(y.t))""",
+    "ties": "select a, b, x.p as i, y.p - x.p as d from two join chars x on x.node = a join chars y on y.node = b and y.c = x.c",
+    "runs": """select a, b, d, min(i) as i, max(i) + 1 as e from
+      (select *, i - row_number() over (partition by a, b, d order by i) as island from ties) group by a, b, d, island""",
+    "seg": """select a, b, cast(1 as bigint) as xl, cast(la + 1 as bigint) as xh, cast(1 as bigint) as yl, cast(lb + 1 as bigint) as yh, cast(0 as bigint) as k from two
+      union all
+      select a, b, case when side = 0 then xl else i + n end, case when side = 0 then i else xh end,
+        case when side = 0 then yl else i + d + n end, case when side = 0 then i + d else yh end, case when side = 0 then n else 0 end
+      from (
+        select a, b, xl, xh, yl, yh, (best).n as n, -(best).i as i, -(best).d as d from (
+          select a, b, xl, xh, yl, yh, max({'n': least(e, xh, yh - d) - greatest(r.i, xl, yl - d), 'i': -greatest(r.i, xl, yl - d), 'd': -d}) as best
+          from seg join runs r using (a, b) where least(e, xh, yh - d) > greatest(r.i, xl, yl - d) group by a, b, xl, xh, yl, yh)
+      ), (select unnest([0, 1]) as side)""",
+    "near": """select a, b, similarity from (select a, b, 2.0 * sum(k) / any_value(la + lb) as similarity from seg join two using (a, b) group by a, b)
+      where similarity >= 0.8""",
+}
+
+
+@register(
+    "fuzzy_similar_pairs",
+    D.query(
+        ["items"], _SEQUENCE,
+        "select x.value as left_key, y.value as right_key, similarity from near join vals x on x.node = a join vals y on y.node = b",
+        recursive=True,
+    ),
+)
 def _(t):
     return C.fuzzy_similar_pairs(t("items"), "description", "idx", 0.8)
 
 
-@register("fuzzy_clusters")
+@register(
+    "fuzzy_clusters",
+    D.query(
+        ["items"],
+        {
+            **_SEQUENCE,
+            **_WALK,
+            "grouped": "select t, coalesce(led.leader, v.node) as leader from vals v left join led using (node)",
+            "named": "select g.t, v.value as cluster_key from grouped g join vals v on v.node = g.leader",
+            "c": "select description as value, count(*) as n, min(idx) as first_pos from items where description is not null group by 1",
+            "clusters": "select cluster_key, c.value, n, first_pos, count(*) over (partition by cluster_key) as variants from c join named on named.t = lower(c.value)",
+        },
+        "select * from clusters where variants >= 2",
+        recursive=True,
+    ),
+)
 def _(t):
     return C.fuzzy_clusters(t("items"), "description", "idx", 0.8)
 
