@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_col, strip
+from ..functions.text import as_col, blank, character_bag, strip
+from ..session import cut, work_folder
 from ..sources.catalog import DEFAULT_SET
+from .ordering import with_position
+from .sequence import sequence_ratios
+from .similarity import candidates, sequence_token_threshold, signatures
 
 # Keywords wanted per category, and the share that is enough.
 KEYWORD_TARGET = 15
 KEYWORD_ENOUGH = 0.8
+# Fixed value: how near a category of the taxonomy must be to stand for one that it lacks.
+FUZZY_THRESHOLD = 0.9
 
 
 def taxonomy_levels(categories: DataFrame) -> DataFrame:
@@ -90,6 +96,39 @@ def validate_category(items: DataFrame, category: str, categories: DataFrame) ->
     ).drop("_valid")
 
 
+def nearest_category(
+    items: DataFrame, category: str, categories: DataFrame, threshold: float = FUZZY_THRESHOLD, nearest: str = "nearest_category",
+    similarity: str | None = None,
+) -> DataFrame:
+    """Add the category of the taxonomy that resembles the given one most, by the sequence ratio of the lower-case texts.
+
+    A category that the taxonomy holds is its own nearest one, with 1; one that none reaches the threshold for, or that is blank,
+    has null. Equal ratios go to the alphabetically first category. Only distinct texts that the taxonomy lacks are compared: they meet its texts
+    through the signatures of their characters, both sides split where a signature is hot."""
+    folder = work_folder(items.sparkSession)
+    held = categories.select(F.col("category").alias("category")).where("category is not null").distinct()
+    asked = items.select(F.col(category).alias("asked")).where(~blank(category)).distinct()
+    asked = asked.join(held, F.col("asked") == F.col("category"), "left_anti")
+    number = lambda df, c, sign: with_position(df, [c], "at").select(
+        (F.col("at") * sign).alias("node"), F.col(c).alias("value"), F.lower(c).alias("text"), character_bag(c).alias("tokens")
+    )
+    theirs, ours = cut(number(held, "category", -1), folder, "held"), cut(number(asked, "asked", 1), folder, "asked")
+    bag = sequence_token_threshold(threshold)
+    signed = [cut(signatures(df, bag), folder, f"{name}-signed") for df, name in ((theirs, "held"), (ours, "asked"))]
+    pairs = candidates(*signed, bag, folder=folder, name="nearest")
+    texts = pairs.join(ours.select(F.col("node").alias("b"), F.col("text").alias("left")), "b")
+    texts = texts.join(theirs.select(F.col("node").alias("a"), F.col("text").alias("right")), "a")
+    scored = sequence_ratios(texts, threshold).join(theirs.select(F.col("node").alias("a"), "value"), "a")
+    best = scored.groupBy("b").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "value")).alias("best"))
+    found = ours.join(best, F.col("node") == F.col("b")).select(
+        F.col("value").alias("_asked"), F.col("best.value").alias("_near"), (-F.col("best.far")).alias("_ratio")
+    )
+    found = found.unionByName(held.select(F.col("category").alias("_asked"), F.col("category").alias("_near"), F.lit(1.0).alias("_ratio")))
+    joined = items.join(found, F.col(category) == F.col("_asked"), "left").withColumn(nearest, F.col("_near"))
+    joined = joined.withColumn(similarity, F.col("_ratio")) if similarity else joined
+    return joined.drop("_asked", "_near", "_ratio")
+
+
 def keyword_distribution(categories: DataFrame, keywords: DataFrame, target: int = KEYWORD_TARGET) -> DataFrame:
     """Keywords per category of the taxonomy, 0 where there are none."""
     counts = keywords.groupBy("category").agg(F.count("*").alias("_n"))

@@ -42,9 +42,10 @@ from ..operators.enrich import (
     shared_parts,
 )
 from ..operators.report import run_stats
-from ..operators.taxonomy import category_list_text, validate_category
+from ..operators.taxonomy import category_list_text, nearest_category, validate_category
 from ..sources.catalog import attribute_catalog, attribute_section
 from ..session import cut, work_folder
+from .waves import ask_in_waves
 
 
 @dataclass(frozen=True)
@@ -151,14 +152,20 @@ def _stored(items: DataFrame, todo: DataFrame, finished: DataFrame | None, order
     if finished is None:
         return rest
     known = [c for c in finished.columns if c != order]
-    marked = finished.select(order, *[F.col(c).alias(f"_stored_{c}") for c in known], F.lit(True).alias("_stored"))
+    cells = F.struct(*known) if known else F.struct(F.lit(True))
+    once = finished.groupBy(order).agg(F.min_by(cells, F.to_json(cells)).alias("_cells"))  # a key counts once
+    marked = once.select(order, "_cells.*").select(order, *[F.col(c).alias(f"_stored_{c}") for c in known], F.lit(True).alias("_stored"))
     joined = rest.join(marked, order, "left")
     cells = {c: F.when(F.col("_stored"), F.col(f"_stored_{c}")).otherwise(F.col(c) if c in rest.columns else F.lit(None)) for c in known}
     return joined.withColumns(cells).select(*dict.fromkeys([*rest.columns, *known]))
 
 
-def _in_taxonomy(df: DataFrame, mapped: str, proposed: str, categories: DataFrame) -> DataFrame:
-    """A mapped category that the taxonomy does not hold becomes the proposal, unless there is one."""
+def _in_taxonomy(df: DataFrame, mapped: str, proposed: str, categories: DataFrame, threshold: float | None = None) -> DataFrame:
+    """A mapped category that the taxonomy does not hold becomes its nearest one, if a threshold is given and one reaches
+    it, and else the proposal, unless there is one."""
+    if threshold is not None:
+        near = nearest_category(df, mapped, categories, threshold, "_nearest")
+        df = near.withColumn(mapped, F.coalesce("_nearest", mapped)).select(*df.columns)
     checked = validate_category(df.withColumn("_mapped", F.col(mapped)), "_mapped", categories)
     moved = F.coalesce(F.nullif(F.col(proposed), F.lit("")), "proposed_category")
     return checked.withColumns({mapped: F.col("valid_category"), proposed: moved}).select(*df.columns)
@@ -179,15 +186,20 @@ def run(
     evidence_level: str = "low",
     batch: int = 1,
     model: str = "",
+    store: str | None = None,
+    waves: int = 16,
+    taxonomy_threshold: float | None = None,
     **options,
 ) -> Run:
     """Full run: ask, parse, ask again with evidence, decide, normalize, describe.
 
     ``evidence`` is ``(Description, evidence)``, used for answers up to ``evidence_level`` of confidence.
     ``finished`` holds rows of an earlier run; they and the items that have a noun already are not asked and keep
-    what is stored. ``categories`` is the taxonomy; ``attributes`` and ``custom`` name what to ask for besides the
+    what is stored. ``categories`` is the taxonomy; with ``taxonomy_threshold``, a category that it lacks becomes its nearest one of at
+    least that similarity, if there is one; ``attributes`` and ``custom`` name what to ask for besides the
     fixed fields; ``layout`` may be the caller's own request. The answers are written once to the shared folder, so
-    a lost executor never repeats a call."""
+    a lost executor never repeats a call. With ``store``, a folder of the caller's, they are committed in ``waves``, and a run that
+    died is called again with the same store: it asks only what has no committed answer."""
     require_columns(items, "Description", order)
     spark = items.sparkSession
     folder = work_folder(spark)
@@ -208,7 +220,10 @@ def run(
 
     def ask(rows: DataFrame, name: str, extra=None) -> DataFrame:
         asked = rows.withColumn("_request", request_text("Description", shown, extra, layout=row_layout))
-        return cut(enrich(asked, classify, "_request", [order], tasks, batch, (before, after)), folder, name)
+        if store is None:
+            return cut(enrich(asked, classify, "_request", [order], tasks, batch, (before, after)), folder, name)
+        found = ask_in_waves(asked, classify, "_request", order, f"{store.rstrip('/')}/{name}", waves, tasks, batch, (before, after))
+        return cut(found, folder, name)
 
     first = ask(todo, "answers")
     parsed = todo.join(first, order, "left").withColumn("_parsed", parse_response("content"))
@@ -224,8 +239,8 @@ def run(
         answered = answered.drop(*WEB_COLUMNS.values()).join(web, order, "left")
     answered = _with_blank_columns(answered, list(WEB_COLUMNS.values())).drop("error")
     if categories is not None:
-        answered = _in_taxonomy(answered, "Mapped_Category_Raw", "Proposed_Category_Raw", categories)
-        answered = _in_taxonomy(answered, "Web_Mapped_Category", "Web_Proposed_Category", categories)
+        answered = _in_taxonomy(answered, "Mapped_Category_Raw", "Proposed_Category_Raw", categories, taxonomy_threshold)
+        answered = _in_taxonomy(answered, "Web_Mapped_Category", "Web_Proposed_Category", categories, taxonomy_threshold)
     failed = items.select(order, "Description").join(first.filter("error is not null"), order)
     kept = _with_blank_columns(_stored(items, todo, finished, order), [*RESPONSE_COLUMNS.values(), *WEB_COLUMNS.values(), *names])
     decisions = ["Final_Category", "Final_Proposed_Category", "Classification_Method"]

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.clustering import apply_mapping
-from ..operators.enrich import resume_pending
 
 
 def item_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -31,41 +30,77 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, available_now:
     return writer.outputMode("append").trigger(availableNow=True).start() if available_now else writer.start()
 
 
-# Finished rows are stored by the hash of their key, so a batch reads only the parts its keys fall into.
-BUCKETS = 256
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def process_stream(
-    stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "Index"
+    stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "Index",
+    finished: DataFrame | None = None, event_time: str | None = None, delay: str = "7 days",
 ) -> StreamingQuery:
-    """Run ``work`` on every batch and store its result in a folder of its own.
+    """Run ``work`` on the rows of every batch whose key has not come before, and store its result in a folder of its own.
 
-    A batch that is repeated after a failure overwrites its own folder, and rows finished by earlier batches
-    are skipped, so every key is stored once. ``work`` keeps ``key``."""
+    Which keys have come is state of the stream, kept by key in the state store on the executors' disks and in the checkpoint,
+    so a batch never reads what earlier ones stored. It lasts as long as the checkpoint; with ``event_time``, keys are forgotten
+    ``delay`` after their time, which bounds the state where repeats come soon. ``finished`` holds rows of other runs to leave
+    out. A batch that is repeated after a failure overwrites its own folder, so every key is stored once. ``work`` keeps ``key``;
+    rows with a null key are one key."""
     spark = stream.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    if finished is not None:
+        known = finished.select(F.col(key).alias("_known")).distinct()
+        stream = stream.join(known, F.col(key) == F.col("_known"), "left_outer").where("_known is null").drop("_known")
+    if event_time:
+        fresh = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    else:
+        fresh = stream.dropDuplicates([key])
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        todo = batch.dropDuplicates([key])
-        earlier = finished_rows(spark, path, batch_id)
-        if earlier is not None:
-            touched = [r[0] for r in todo.select(bucket).distinct().collect()]  # BUCKETS at most
-            todo = resume_pending(todo, earlier.filter(F.col("bucket").isin(touched)), key)
-        done = work(todo).withColumn("bucket", bucket)
-        done.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
-
-    return (
-        stream.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def finished_rows(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Rows stored so far, of batches before the given one; None if no batch has stored rows."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch=*/bucket=*")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
-        return None
-    rows = spark.read.parquet(path)
-    return rows if before is None else rows.filter(F.col("batch") < before)
+        work(batch).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS)  # read when the stream starts; keys beyond memory stay on disk
+    try:
+        writer = fresh.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
+def _parts(spark: SparkSession, path: str) -> tuple[list[tuple[int, str]], tuple[int, str] | None]:
+    """Number and folder of every complete batch that is not in the last complete compaction, and that compaction."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(f"{path.rstrip('/')}/*=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    folders = [str(s.getPath().getParent()) for s in found]
+    named = [(f.rsplit("/", 1)[1].split("="), f) for f in folders]
+    upto = max(((int(n), f) for (kind, n), f in named if kind == "upto"), default=None)
+    batches = sorted((int(n), f) for (kind, n), f in named if kind == "batch" and (upto is None or int(n) > upto[0]))
+    return batches, upto
+
+
+def finished_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows stored so far; None if no batch has stored rows."""
+    batches, upto = _parts(spark, path)
+    folders = ([upto[1]] if upto else []) + [f for _, f in batches]
+    return spark.read.parquet(*folders) if folders else None
+
+
+def compact(spark: SparkSession, path: str, files: int, keep: int = 1) -> int:
+    """Rewrite the stored batches but the last ``keep`` as one table of ``files`` files, and return their number.
+
+    The new table counts as soon as its write is complete, and from then on stands for its batches, whose folders are
+    removed last; a compaction that dies changes nothing. The last batches stay, as a stream may write them again."""
+    batches, upto = _parts(spark, path)
+    old = batches[: max(len(batches) - keep, 0)]
+    if not old:
+        return 0
+    folders = ([upto[1]] if upto else []) + [f for _, f in old]
+    spark.read.parquet(*folders).repartition(files).write.mode("overwrite").parquet(f"{path.rstrip('/')}/upto={old[-1][0]}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for folder in folders:
+        at = hadoop.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(old)

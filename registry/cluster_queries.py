@@ -161,34 +161,19 @@ def _(t):
     return C.leader_clusters(line_keys(t), "key", "key_pos")
 
 
-# The runs of equal characters of every pair, by diagonal, once; a segment's longest run is the longest one clipped to it.
 _SEQUENCE = {
     "vals": "select lower(description) as t, min(idx) as node, arg_min(description, idx) as value from items where description is not null group by 1",
-    "chars": "select node, unnest(range(1, length(t) + 1)) as p, substr(t, unnest(range(1, length(t) + 1)), 1) as c from vals",
-    "two": """select x.node as a, y.node as b, length(x.t) as la, length(y.t) as lb from vals x join vals y
-      on x.node < y.node and 2 * least(length(x.t), length(y.t)) >= 0.8 * (length(x.t) + length(y.t))""",
-    "ties": "select a, b, x.p as i, y.p - x.p as d from two join chars x on x.node = a join chars y on y.node = b and y.c = x.c",
-    "runs": """select a, b, d, min(i) as i, max(i) + 1 as e from
-      (select *, i - row_number() over (partition by a, b, d order by i) as island from ties) group by a, b, d, island""",
-    "seg": """select a, b, cast(1 as bigint) as xl, cast(la + 1 as bigint) as xh, cast(1 as bigint) as yl, cast(lb + 1 as bigint) as yh, cast(0 as bigint) as k from two
-      union all
-      select a, b, case when side = 0 then xl else i + n end, case when side = 0 then i else xh end,
-        case when side = 0 then yl else i + d + n end, case when side = 0 then i + d else yh end, case when side = 0 then n else 0 end
-      from (
-        select a, b, xl, xh, yl, yh, (best).n as n, -(best).i as i, -(best).d as d from (
-          select a, b, xl, xh, yl, yh, max({'n': least(e, xh, yh - d) - greatest(r.i, xl, yl - d), 'i': -greatest(r.i, xl, yl - d), 'd': -d}) as best
-          from seg join runs r using (a, b) where least(e, xh, yh - d) > greatest(r.i, xl, yl - d) group by a, b, xl, xh, yl, yh)
-      ), (select unnest([0, 1]) as side)""",
-    "near": """select a, b, similarity from (select a, b, 2.0 * sum(k) / any_value(la + lb) as similarity from seg join two using (a, b) group by a, b)
-      where similarity >= 0.8""",
+    **D.sequence_sql("vals", "t", "vals", "t", 0.8, "l.node < r.node"),
 }
+# Named by the nodes instead of the texts.
+_SEQUENCE["near"] = f"select l.node as a, r.node as b, l.value as left_key, r.value as right_key, similarity from ({_SEQUENCE['near']}) join vals l on l.t = x join vals r on r.t = y"
 
 
 @register(
     "fuzzy_similar_pairs",
     D.query(
         ["items"], _SEQUENCE,
-        "select x.value as left_key, y.value as right_key, similarity from near join vals x on x.node = a join vals y on y.node = b",
+        "select left_key, right_key, similarity from near",
         recursive=True,
     ),
 )

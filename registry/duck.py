@@ -103,3 +103,32 @@ def consensus(p: str, source: str, key: str, category: str) -> dict[str, str]:
           arg_max(category, case when {blank('category')} then null else n end) as winner from {p}_n group by key""",
         f"{p}_win": f"select * from {p}_votes where total >= 2 and voters > 0 and top * 2 > voters",
     }
+
+
+def sequence_sql(left: str, x: str, right: str, y: str, threshold: float, on: str = "true") -> dict[str, str]:
+    """CTEs that end in near (x, y, similarity): the pairs of distinct texts whose sequence ratio in lower case reaches the threshold.
+
+    The runs of equal characters of every pair are found once, by diagonal; the longest run of a segment is the longest
+    one clipped to it, the first in x and then in y. The texts must have less than 200 characters."""
+    letters = lambda t, c: f"select {c} as t, unnest(range(1, length({c}) + 1)) as p, substr(lower({c}), unnest(range(1, length({c}) + 1)), 1) as c from (select distinct {c} from {t})"
+    clipped = "least(e, xh, yh - d) - greatest(r.i, xl, yl - d)"
+    return {
+        "xc": letters(left, x),
+        "yc": letters(right, y),
+        "two": f"""select l.{x} as x, r.{y} as y, length(l.{x}) as lx, length(r.{y}) as ly from {left} l join {right} r
+          on {on} and 2 * least(length(l.{x}), length(r.{y})) >= {threshold} * (length(l.{x}) + length(r.{y}))""",
+        "ties": "select x, y, xc.p as i, yc.p - xc.p as d from two join xc on xc.t = x join yc on yc.t = y and yc.c = xc.c",
+        "runs": """select x, y, d, min(i) as i, max(i) + 1 as e from
+          (select *, i - row_number() over (partition by x, y, d order by i) as island from ties) group by x, y, d, island""",
+        "seg": f"""select x, y, cast(1 as bigint) as xl, cast(lx + 1 as bigint) as xh, cast(1 as bigint) as yl, cast(ly + 1 as bigint) as yh, cast(0 as bigint) as k from two
+          union all
+          select x, y, case when side = 0 then xl else i + n end, case when side = 0 then i else xh end,
+            case when side = 0 then yl else i + d + n end, case when side = 0 then i + d else yh end, case when side = 0 then n else 0 end
+          from (
+            select x, y, xl, xh, yl, yh, (best).n as n, -(best).i as i, -(best).d as d from (
+              select x, y, xl, xh, yl, yh, max({{'n': {clipped}, 'i': -greatest(r.i, xl, yl - d), 'd': -d}}) as best
+              from seg join runs r using (x, y) where {clipped} > 0 group by x, y, xl, xh, yl, yh)
+          ), (select unnest([0, 1]) as side)""",
+        "near": f"""select x, y, similarity from (select x, y, 2.0 * sum(k) / any_value(lx + ly) as similarity from seg join two using (x, y) group by x, y)
+          where similarity >= {threshold}""",
+    }

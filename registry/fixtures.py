@@ -75,8 +75,12 @@ select p_brand as Attribute_Set, min(p_type) as Att1, '' as Att2, max(p_name) as
   concat(' ', min(p_name), ' ') as Att5, cast(null as varchar(10)) as Att6, max(p_type) as Att7, 'nan' as Att8
 from part group by p_brand""",
     "set_mapping": """
-select concat(p_type, ' ') as Level1_Category, min(p_brand) as Attribute_Set
-from part where p_type <> 'STANDARD' group by p_type""",
+select concat(case when p_type = 'STANDARD' then 'OTHER' else p_type end, ' ') as Level1_Category, min(p_brand) as Attribute_Set
+from part group by p_type""",
+    "mistyped": """
+select idx, description, case idx % 4 when 0 then ai_proposed when 1 then concat(ai_proposed, 's') when 2 then concat(lower(ai_proposed), ' x')
+  else replace(ai_proposed, 'O', '0') end as given
+from items""",
     "snippets": """
 select p_name as query, cast(row_number() over (partition by p_name order by p_partkey) as int) as rank,
   case when p_partkey % 5 = 0 then '' else concat('sold as ', p_brand) end as snippet,
@@ -107,7 +111,8 @@ select idx,
 from items""",
     "learned": """
 select distinct concat(p_brand, ' Inc.') as value, lower(p_brand) as canonical from part""",
-    "finished": "select distinct l_partkey as idx from lineitem where l_quantity >= 49 and l_returnflag = 'R'",
+    # every second item at most, from all rows
+    "finished": "select distinct l_partkey * 2 as idx from lineitem",
 }
 
 LINES_SPARK = r"select doc_id * 1000000 + pos as pos, line from documents lateral view posexplode(split(text, '\n')) as pos, line"

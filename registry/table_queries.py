@@ -13,10 +13,14 @@ from itemnorm.operators import taxonomy as Y
 from itemnorm.operators.clustering import normalize_column
 from itemnorm.operators.ordering import add_index, sample_rows
 from itemnorm.sources import catalog as G
+from itemnorm.plans.waves import ask_in_waves
+from itemnorm.session import work_folder
 from itemnorm.sources.tables import attribute_sets, taxonomy
+from itemnorm.streaming.streams import compact, finished_rows, item_stream, process_stream
 
 from . import duck as D
 from .core import register
+from .duck import sequence_sql
 
 # --- sources ------------------------------------------------------------------------------------
 
@@ -518,15 +522,34 @@ def _(t):
 @register(
     "validate_category",
     D.query(
-        ["items", "categories"],
+        ["mistyped", "categories"],
         None,
-        """select idx, coalesce(c.category, '') as valid_category, case when c.category is null then ai_proposed else '' end as proposed_category
-        from items left join (select distinct category from categories where category like 'NEW%' and category not like '%O%') c on ai_proposed = c.category""",
+        """select idx, coalesce(c.category, '') as valid_category, case when c.category is null then given else '' end as proposed_category
+        from mistyped left join (select distinct category from categories) c on given = c.category""",
     ),
 )
 def _(t):
-    valid = t("categories").filter("category like 'NEW%' and category not like '%O%'")
-    return Y.validate_category(t("items"), "ai_proposed", valid).select("idx", "valid_category", "proposed_category")
+    return Y.validate_category(t("mistyped"), "given", t("categories")).select("idx", "valid_category", "proposed_category")
+
+
+@register(
+    "nearest_category",
+    D.query(
+        ["mistyped", "categories"],
+        {
+            "held": "select distinct category from categories where category is not null",
+            "asked": "select distinct given from mistyped where trim(given) <> '' and given not in (select category from held)",
+            **sequence_sql("asked", "given", "held", "category", 0.9),
+            "best": "select x as given, first(y order by similarity desc, y) as nearest, max(similarity) as similarity from near group by x",
+        },
+        """select idx, given, coalesce(h.category, b.nearest) as nearest_category, case when h.category is not null then 1.0 else b.similarity end as similarity
+        from mistyped left join held h on h.category = given left join best b using (given)""",
+        recursive=True,
+    ),
+)
+def _(t):
+    near = Y.nearest_category(t("mistyped"), "given", t("categories"), 0.9, similarity="similarity")
+    return near.select("idx", "given", "nearest_category", "similarity")
 
 
 @register(
@@ -754,3 +777,46 @@ def _(t):
 )
 def _(t):
     return K.simple_estimate(t("batches"), t("prices"))
+
+
+def _echo():
+    """Answers every request with the evidence in it; refuses those of some items, as a service does."""
+
+    def answer(request):
+        if "Id: 1\n" in request or "Id: 17\n" in request:
+            raise ValueError("refused")
+        return request.split("SEARCH EVIDENCE\n")[1].split("\nEND")[0]
+
+    return lambda texts: texts.map(answer)
+
+
+@register(
+    "answer_waves",
+    D.query(
+        ["items", "responses"],
+        None,
+        """select idx, case when idx in (1, 17) then null else content end as content, case when idx in (1, 17) then 'refused' end as error
+        from items join responses using (idx)""",
+    ),
+)
+def _(t):
+    """Two calls over one store: the first gets half of the items, the second all of them and asks only the rest."""
+    rows = t("items").join(t("responses"), "idx")
+    asked = rows.withColumn("request", F.concat(E.request_text("description", E.context_text({"Id": F.col("idx")}), F.col("content")), F.lit("\nEND")))
+    store = work_folder(rows.sparkSession)
+    ask_in_waves(asked.where("idx % 2 = 0"), _echo(), "request", "idx", store, 3)
+    return ask_in_waves(asked, _echo(), "request", "idx", store, 5).select("idx", "content", "error")
+
+
+@register("resume_stream", D.query(["items"], None, "select idx, upper(description) as shown from items"))
+def _(t):
+    """Items arrive in files that overlap; the stream is stopped and started again; what is stored is compacted."""
+    items = t("items").select("idx", "description")
+    spark, folder = items.sparkSession, work_folder(items.sparkSession)
+    work = lambda df: df.select("idx", F.upper("description").alias("shown"))
+    for arrival in ("idx % 3 = 0", "idx % 2 = 0", "true"):
+        items.where(arrival).write.mode("append").parquet(f"{folder}/in")
+        stream = item_stream(spark, f"{folder}/in", items.schema)
+        process_stream(stream, work, f"{folder}/out", f"{folder}/state", "idx").awaitTermination()
+        compact(spark, f"{folder}/out", 2)
+    return finished_rows(spark, f"{folder}/out")

@@ -9,7 +9,8 @@ from check import compare
 from itemnorm.operators.clustering import apply_mapping
 from itemnorm.plans.renormalize import renormalize, run
 from itemnorm.sources.tables import load_mapping, save_mapping
-from itemnorm.streaming.streams import append_stream, apply_mapping_stream, finished_rows, item_stream, process_stream
+from itemnorm.plans.waves import ask_in_waves, committed
+from itemnorm.streaming.streams import append_stream, apply_mapping_stream, compact, finished_rows, item_stream, process_stream
 from registry.fixtures import BASE, table
 
 SF = "/root/testdata/sf0.001"
@@ -154,11 +155,91 @@ def test_mapping_stream_equals_batch(spark, tmp_path):
 
 
 def test_resumable_stream_stores_every_key_once(spark, tmp_path):
-    items = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "Index long, t string")
+    items = spark.createDataFrame([(i, f"t{i}") for i in range(6)] + [(None, "t")], "Index long, t string")
     work = lambda df: df.withColumn("u", F.upper("t"))
-    for part in (items.filter("Index < 4"), items.filter("Index >= 2")):
+    for part in (items.filter("Index < 4"), items.filter("Index >= 2 or Index is null")):
         part.write.mode("append").parquet(f"{tmp_path}/in")
         stream = item_stream(spark, f"{tmp_path}/in", items.schema, files_per_batch=1)
-        process_stream(stream, work, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    rows = finished_rows(spark, f"{tmp_path}/out").select("Index", "u").orderBy("Index").collect()
-    assert rows == [(i, f"T{i}") for i in range(6)]
+        finished = spark.createDataFrame([(0, "old")], "Index long, t string")
+        process_stream(stream, work, f"{tmp_path}/out", f"{tmp_path}/state", finished=finished).awaitTermination()
+    want = [(None, "T")] + [(i, f"T{i}") for i in range(1, 6)]
+    stored = lambda: finished_rows(spark, f"{tmp_path}/out").select("Index", "u").orderBy("Index").collect()
+    assert stored() == want
+    n = len(os.listdir(tmp_path / "out"))
+    assert compact(spark, f"{tmp_path}/out", 1) == n - 1 and sorted(x.split("=")[0] for x in os.listdir(tmp_path / "out")) == ["batch", "upto"]
+    assert stored() == want and compact(spark, f"{tmp_path}/out", 1) == 0
+
+
+def test_batches_do_not_read_what_is_stored(spark, tmp_path):
+    """A batch's input is its own file, whatever has been stored: the stored folders may be gone."""
+    items = spark.createDataFrame([(i, f"t{i}") for i in range(40)], "Index long, t string")
+    read = []
+    for part in range(4):
+        items.where(F.col("Index") <= 10 * part + 9).where(F.col("Index") >= 10 * part - 2).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = item_stream(spark, f"{tmp_path}/in", items.schema)
+        query = process_stream(stream, lambda df: df, f"{tmp_path}/out-{part}", f"{tmp_path}/state")
+        query.awaitTermination()
+        read += [p.numInputRows for p in query.recentProgress if p.numInputRows]
+    assert read == [10, 12, 12, 12]
+    assert sum(finished_rows(spark, f"{tmp_path}/out-{part}").count() for part in range(4)) == 40
+
+
+def test_a_run_that_dies_asks_for_nothing_twice(spark, tmp_path):
+    """The third wave kills its job; the second call asks the rows of that wave and of the later ones only."""
+    log, store = str(tmp_path / "log"), str(tmp_path / "store")
+    os.makedirs(log)
+    rows = spark.range(60).select(F.col("id").alias("Index"), F.concat(F.lit("item "), "id").alias("request"))
+    waves = {r.Index: r.w for r in rows.select("Index", F.pmod(F.xxhash64("Index"), F.lit(6)).alias("w")).collect()}
+    deadly = [f"item {i}" for i, w in waves.items() if w == 2]
+
+    def classifier(kill):
+        def classify(texts):
+            for t in texts:
+                if t in kill:
+                    raise SystemExit("the machine is lost")
+                with open(os.path.join(log, t), "a") as f:
+                    f.write("x")
+            return texts.str.upper()
+
+        return classify
+
+    with pytest.raises(Exception):
+        ask_in_waves(rows, classifier(deadly), "request", "Index", store, 6, tasks=1)
+    asked = set(os.listdir(log))
+    assert len(committed(spark, store)) == 2 and asked == {f"item {i}" for i, w in waves.items() if w < 2}
+    out = ask_in_waves(rows, classifier([]), "request", "Index", store, 4, tasks=2)
+    assert {(r.Index, r.content) for r in out.collect()} == {(i, f"ITEM {i}") for i in range(60)}
+    assert all(open(os.path.join(log, f)).read() == "x" for f in os.listdir(log)) and len(os.listdir(log)) == 60
+    ask_in_waves(rows, classifier(deadly), "request", "Index", store)  # nothing is left to ask
+    changed = ask_in_waves(rows.limit(1).withColumn("request", F.lit("another")), classifier([]), "request", "Index", store)
+    assert [r.content for r in changed.collect()] == ["ANOTHER"]
+
+
+def test_errors_are_asked_again_on_demand(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "good"), (2, "bad")], "Index long, request string")
+
+    def classifier(fails):
+        def classify(texts):
+            if fails and "bad" in set(texts):
+                raise ValueError("busy")
+            return texts.str.upper()
+
+        return classify
+
+    ask = lambda fails, **more: sorted(map(tuple, ask_in_waves(rows, classifier(fails), "request", "Index", str(tmp_path), 2, **more).select("Index", "content", "error").collect()))
+    assert ask(True) == [(1, "GOOD", None), (2, None, "busy")] == ask(False)
+    assert ask(True, retry_errors=True) == [(1, "GOOD", None), (2, None, "busy")]
+    assert ask(False, retry_errors=True) == [(1, "GOOD", None), (2, "BAD", None)]
+    assert ask_in_waves(rows.where("false"), classifier(True), "request", "Index", str(tmp_path)).count() == 0
+
+
+def test_full_run_over_a_store(spark, tmp_path):
+    """Waves, repeated keys in ``finished`` and the nearest category of the taxonomy."""
+    items = spark.createDataFrame([(i, f"steel valve {i}") for i in range(8)], "Index long, Description string")
+    finished = spark.createDataFrame([(3, "pump"), (3, "pump"), (3, "motor")], "Index long, Concept_Noun_Raw string")
+    categories = spark.createDataFrame([("MRO|Valve",), ("MRO|Pumps",)], "category string")
+    for waves in (3, 2):
+        done = run(items, _classifier(), finished=finished, categories=categories, store=str(tmp_path), waves=waves, taxonomy_threshold=0.9)
+        assert sorted(r["Index"] for r in done.usage.collect()) == [0, 1, 2, 4, 5, 6, 7]
+    got = {r.Index: (r.Category, r.Concept_Noun) for r in done.table.collect()}
+    assert len(got) == done.table.count() == 8 and got[0][0] == "MRO|Valve" and got[3][1] in ("pump", "motor")
