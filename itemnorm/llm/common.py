@@ -179,8 +179,9 @@ def number_within(df: DataFrame, group: Column, order: list[Column], name: str,
 
     Rows of a group are dealt into ``salts`` buckets by the hash of ``order``; a window numbers each bucket and
     the buckets' sizes shift it. No task sees a whole group. Order within a group is by bucket, then ``order``;
-    rows alike in ``order`` are numbered arbitrarily.
+    rows alike in ``order`` are numbered arbitrarily. A column ``name`` is replaced.
     """
+    df = df.drop(name)
     g, s, n, base = (fresh(df, x) for x in ("_group", "_salt", "_size", "_base"))
     salted = df.withColumn(g, group).withColumn(s, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     before = Window.partitionBy(g).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import fresh, map_rows
 
 #: Public wordings of licence notices, one passage per line.
 TEMPLATES = {
@@ -181,7 +181,8 @@ class Scanner:
 
 
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
-    """``docs`` plus ``notices``, an array of (sentence, license, reduction, n_different, different). Texts without a
+    """``docs`` plus ``notices``, an array of (sentence, license, reduction, n_different, different), in
+    place of a column of that name. Texts without a
     licence word are not sent to Python."""
     kind = "array<struct<sentence:bigint,license:string,reduction:double,n_different:bigint,different:array<string>>>"
     texts = templates or TEMPLATES
@@ -195,7 +196,8 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
     docs = docs.drop("notices")
     cued = F.when(F.col(text).rlike(CUES), F.col(text))
     adds = T.StructType([T.StructField("notices", T.DataType.fromDDL(kind))])
-    found = map_rows(docs.withColumn("_cued", cued), ["_cued"], docs.columns, adds, make)
+    name = fresh(docs, "_cued")
+    found = map_rows(docs.withColumn(name, cued), [name], docs.columns, adds, make)
     return found
 
 

@@ -34,7 +34,7 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 
 
 def assign(docs: DataFrame, key: str, weights: list[float], shard: str = "shard") -> DataFrame:
-    """``docs`` plus the shard of each row; rows with equal keys share a shard."""
+    """``docs`` plus the shard of each row, in place of a column of that name; rows with equal keys share a shard."""
     return docs.withColumn(shard, rendezvous(F.col(key), weights))
 
 

@@ -12,12 +12,13 @@ keep their own turn. So no conversation is gathered in one task, however long it
 
 Null conversation ids form one conversation, null turns come first, null texts are empty content, null roles are
 written as null. Of several calls with one identifier, the first by turn counts, and so for results; the others
-are marked ``duplicate``. Rows that are alike in all columns are treated alike.
+are marked ``duplicate``. Null arguments are no object; other columns are not read. Rows that are alike in all columns are treated alike.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +27,10 @@ from pyspark.sql import types as T
 
 from .common import cut, map_rows, work_folder
 
-#: What a tool's arguments must be: name -> {argument: (JSON type, required)}.
-Schemas = dict[str, dict[str, tuple[str, bool]]]
+#: What a tool's arguments must be: name -> {argument: (schema, required)}. A schema is a JSON type or an object with
+#: ``type``, ``enum``, ``minimum``, ``maximum``, ``minLength``, ``maxLength``, ``minItems``, ``maxItems``, ``items``,
+#: ``properties``, ``required`` and ``additionalProperties``, as in JSON Schema.
+Schemas = dict[str, dict[str, tuple[str | dict, bool]]]
 
 TYPES = {
     "string": lambda v: isinstance(v, str),
@@ -36,7 +39,13 @@ TYPES = {
     "boolean": lambda v: isinstance(v, bool),
     "array": lambda v: isinstance(v, list),
     "object": lambda v: isinstance(v, dict),
+    "null": lambda v: v is None,
 }
+#: Bounds: (keyword, what is measured, whether the measure must not be below it).
+BOUNDS = (
+    ("minimum", "number", True), ("maximum", "number", False), ("minLength", "string", True), ("maxLength", "string", False),
+    ("minItems", "array", True), ("maxItems", "array", False),
+)
 
 
 def canonical(value) -> str:
@@ -44,27 +53,69 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def faults(name, arguments, schemas: Schemas) -> list[str]:
-    """What is wrong with the arguments of a call; a reference to another call's result fits every type."""
-    if name not in schemas:
-        return [f"unknown tool {name}"]
+def misfits(value, schema: str | dict, at: str) -> list[tuple[str, str | None]]:
+    """(fault, reference) of a value against a schema. A string ``$id`` may stand for the result of a call, which fits
+    everything; its faults count only if there is no such call."""
+    schema = {"type": schema} if isinstance(schema, str) else schema
+    ref = value[1:] if isinstance(value, str) and len(value) > 1 and value[0] == "$" else None
+    kind = schema.get("type")
+    if kind is not None and not TYPES[kind](value):
+        return [(f"{at} is no {kind}", ref)]
+    found = []
+    if "enum" in schema and value not in schema["enum"]:
+        found.append(f"{at} is none of its values")
+    for word, of, low in BOUNDS:
+        if word in schema and TYPES[of](value):
+            size = value if of == "number" else len(value)
+            if size < schema[word] if low else size > schema[word]:
+                found.append(f"{at} is beyond {word} {schema[word]}")
+    out = [(x, ref) for x in found]
+    if isinstance(value, list) and "items" in schema:
+        for i, v in enumerate(value):
+            out += misfits(v, schema["items"], f"{at}[{i}]")
+    if isinstance(value, dict):
+        known = schema.get("properties", {})
+        out += [(f"missing {at}.{k}", None) for k in schema.get("required", []) if k not in value]
+        for k, v in value.items():
+            if k in known:
+                out += misfits(v, known[k], f"{at}.{k}")
+            elif schema.get("additionalProperties") is False:
+                out.append((f"unexpected {at}.{k}", None))
+    return out
+
+
+def faults(name, arguments, schemas: Schemas) -> list[tuple[str, str | None]]:
+    """What is wrong with the arguments of a call, each with the reference that it depends on, if any."""
+    if not isinstance(name, str) or name not in schemas:
+        return [(f"unknown tool {name if isinstance(name, str) else canonical(name)}", None)]
     if not isinstance(arguments, dict):
-        return ["arguments are no object"]
+        return [("arguments are no object", None)]
     spec = schemas[name]
-    found = [f"missing {a}" for a, (_, needed) in spec.items() if needed and a not in arguments]
+    found = [(f"missing {a}", None) for a, (_, needed) in spec.items() if needed and a not in arguments]
     for a, v in arguments.items():
-        if a not in spec:
-            found.append(f"unexpected {a}")
-        elif not (isinstance(v, str) and v.startswith("$")) and not TYPES[spec[a][0]](v):
-            found.append(f"{a} is no {spec[a][0]}")
-    return sorted(found)
+        found += misfits(v, spec[a][0], a) if a in spec else [(f"unexpected {a}", None)]
+    return sorted(found, key=lambda f: (f[0], f[1] or ""))
+
+
+def _refuse(word: str):
+    raise ValueError(f"{word} is no JSON")
+
+
+def _finite(digits: str) -> float:
+    value = float(digits)
+    return value if math.isfinite(value) else _refuse(digits)
 
 
 def _object(text: str | None) -> dict | None:
+    """The JSON object that a text is, else None. NaN and numbers without a finite value are no JSON; half of a
+    surrogate pair, which no text can hold, becomes the replacement character."""
     if not text or not text.lstrip().startswith("{"):
         return None
     try:
-        value = json.loads(text)
+        value = json.loads(text, parse_constant=_refuse, parse_float=_finite)
+        if "\\ud" in text or "\\uD" in text:
+            whole = json.dumps(value, ensure_ascii=False).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+            value = json.loads(whole)
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
@@ -93,11 +144,12 @@ def read_message(role: str | None, text: str | None, schemas: Schemas) -> tuple:
             c = c if isinstance(c, dict) else {}
             i, name, arguments = c.get("id"), c.get("name"), c.get("arguments")
             if isinstance(arguments, str):
-                arguments = _object(arguments) or arguments
+                read = _object(arguments)
+                arguments = arguments if read is None else read
             i = i if isinstance(i, str) else canonical(i)
             calls.append(i)
             uses.update(_uses(arguments))
-            wrong += [f"{i}: {x}" for x in faults(name, arguments, schemas)]
+            wrong += [(f"{i}: {x}", ref) for x, ref in faults(name, arguments, schemas)]
             written.append({"arguments": arguments, "id": i, "name": name})
         out = {"content": value.get("content"), "role": role, "tool_calls": written}
         return calls, sorted(uses), wrong, None, canonical(out)
@@ -112,15 +164,18 @@ def messages(talk: DataFrame, schemas: Schemas) -> DataFrame:
     """Every message (of_conv, turn, role) read from its ``text``."""
     strings = T.ArrayType(T.StringType())
     adds = T.StructType(
-        [T.StructField(n, strings) for n in ("calls", "uses", "faults")]
+        [T.StructField(n, strings) for n in ("calls", "uses")]
+        + [T.StructField("faults", T.DataType.fromDDL("array<struct<fault:string,ref:string>>"))]
         + [T.StructField("answers", T.StringType()), T.StructField("json", T.StringType())]
     )
 
     def make():
-        kinds = [pa.list_(pa.string())] * 3 + [pa.string()] * 2
+        fault = pa.list_(pa.struct([("fault", pa.string()), ("ref", pa.string())]))
+        kinds = [pa.list_(pa.string())] * 2 + [fault] + [pa.string()] * 2
 
         def work(roles, texts):
             made = list(zip(*(read_message(r, t, schemas) for r, t in zip(roles, texts)))) or [[]] * 5
+            made[2] = [[{"fault": f, "ref": r} for f, r in own] for own in made[2]]
             return [pa.array(list(x), k) for x, k in zip(made, kinds)]
 
         return work
@@ -154,6 +209,11 @@ def link(
     used = rows.select("conv", "row", F.explode("uses").alias("id")).join(pairs.select("conv", "id", "result"), ["conv", "id"])
     needs = pairs.select(F.col("result").alias("row"), F.col("call").alias("before"))
     needs = needs.unionAll(used.select("row", F.col("result").alias("before"))).where("row <> before").distinct()
+    # faults that a reference would excuse, if the conversation has no such call
+    maybe = rows.select("conv", "row", F.explode("faults").alias("f")).where("f.ref IS NOT NULL")
+    maybe = maybe.select("conv", "row", F.col("f.fault").alias("fault"), F.col("f.ref").alias("id"))
+    known = links.where("call IS NOT NULL").select("conv", "id")
+    real = maybe.join(known, ["conv", "id"], "left_anti").groupBy("row").agg(F.collect_list("fault").alias("more"))
     places = settle(rows.select("row", "turn"), cut(needs, folder, "needs"), folder)
     by_call = called.join(links, ["conv", "id"]).groupBy("row").agg(
         F.count(F.lit(1)).alias("n_calls"),
@@ -161,7 +221,9 @@ def link(
         F.max(F.col("call") != F.col("row")).alias("again"),
     )
     by_result = answered.join(links, ["conv", "id"]).select("row", F.col("call").alias("of"), F.col("result").alias("first_result"))
-    out = rows.join(places, "row", "left").join(by_call, "row", "left").join(by_result, "row", "left")
+    sure = F.transform(F.filter("faults", lambda f: f["ref"].isNull()), lambda f: f["fault"])
+    every = F.sort_array(F.concat(sure, F.coalesce("more", F.array().cast("array<string>")))).alias("faults")
+    out = rows.join(real, "row", "left").join(places, "row", "left").join(by_call, "row", "left").join(by_result, "row", "left")
     status = (
         F.when(F.col("cyclic"), "cycle")
         .when(F.col("again"), "duplicate")
@@ -177,7 +239,7 @@ def link(
         F.coalesce("place.turn", "turn").alias("at_turn"), F.coalesce("place.step", F.lit(0)).alias("at_step"),
         F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"),
         F.coalesce("n_answered", F.lit(0)).cast("long").alias("n_answered"),
-        status.alias("status"), "faults", "json",
+        status.alias("status"), every, "json",
     )
 
 

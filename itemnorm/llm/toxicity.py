@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, hash_batch, hash_starts, map_rows, remove, work_folder
+from .common import cut, fresh, hash_batch, hash_starts, map_rows, remove, work_folder
 
 BITS = 18
 RANK = 4
@@ -188,7 +188,7 @@ def _live_rows(taught: DataFrame, key: str, spot: np.ndarray):
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` plus the probability of the label; a null or empty text gets the score of no terms."""
+    """``docs`` plus the probability of the label as ``name``, in place of a column of that name; a null or empty text gets the score of no terms."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():
@@ -200,5 +200,5 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "sc
 
 def clean(docs: DataFrame, machine: Machine, text: str = "text", limit: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose score reaches ``limit``."""
-    name = "_toxicity_score"
+    name = fresh(docs, "_score")
     return score(docs, machine, text, name).where(F.col(name) < limit).select(*docs.columns)

@@ -194,11 +194,18 @@ def shared_bands(classes: DataFrame, folder: str, name: str) -> DataFrame:
 
 def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", keeps: list[str] | None = None,
            threshold: float = THRESHOLD, names: tuple[str, str] = ("component_id", "kept")) -> DataFrame:
+    """As ``_decide``, whatever the columns of ``docs`` are called; they travel under other names."""
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    keeps = list(dict.fromkeys([key, *(keeps or [])]))
+    out = _decide(docs.toDF(*plain.values()), plain[key], plain[text], [plain[c] for c in keeps], threshold, names)
+    return out.toDF(*keeps, *names)
+
+
+def _decide(docs: DataFrame, key: str, text: str, keeps: list[str], threshold: float, names: tuple[str, str]) -> DataFrame:
     """Every row of ``docs`` (columns ``key`` and ``keeps``) with ``component_id``, the smallest ``key`` of the
     documents it is linked to directly or through others, and ``kept``, true for one row of each such group: the one
     with the smallest key, and the first of several rows with that key."""
     folder = work_folder(docs.sparkSession)
-    keeps = list(dict.fromkeys([key, *(keeps or [])]))
     rows = cut(prints(docs, text, keeps), folder, "prints")
     best = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_row").alias("row"))).alias("best")
     worded = rows.where(F.col("_content").isNotNull())

@@ -51,3 +51,31 @@ def test_long_chain_and_long_conversation(spark):
     order = sorted((got[1, t], t) for t in range(12))
     assert [t for _, t in order] == [10, 11, 8, 9, 6, 7, 4, 5, 2, 3, 0, 1]
     assert all(got[2, i] == (i, 0) for i in range(3000))
+
+
+def test_odd_json(spark):
+    """Half surrogate pairs, numbers that are no JSON, empty arguments as text, references to calls that do not exist."""
+    tools = {"find": {"q": ("string", False), "n": ("integer", False)}}
+    rows = [
+        (1, 0, "assistant", '{"tool_calls": [{"id": "a", "name": "find", "arguments": {"q": "x\\ud800y \\ud83d\\ude00"}}]}'),
+        (1, 1, "assistant", '{"tool_calls": [{"id": "b", "name": "find", "arguments": "{}"}]}'),
+        (1, 2, "assistant", '{"tool_calls": [{"id": "c", "name": "find", "arguments": {"n": NaN}}]}'),
+        (1, 3, "assistant", '{"tool_calls": [{"id": "d", "name": "find", "arguments": {"n": 1e999}}]}'),
+        (1, 4, "assistant", call("e", {"n": "$5", "q": "$5"})), (1, 5, "assistant", call("f", {"n": "$a"})),
+        (1, 6, "assistant", call("g", None, 7)), (1, 7, "tool", '{"tool_call_id": "\\udfff"}'),
+    ]
+    got = {r.turn: r for r in C.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools).collect()}
+    assert "x\ufffdy \U0001f600" in got[0].json and got[0].faults == [] and got[1].faults == []
+    assert [got[t].status for t in (2, 3)] == ["plain", "plain"] and all(json.loads(r.json) for r in got.values())
+    assert got[4].faults == ["e: n is no integer"] and got[5].faults == [] and got[6].faults == ["g: unknown tool 7"]
+
+
+def test_nested_schemas():
+    spec = {"type": "object", "required": ["unit"], "additionalProperties": False, "properties": {
+        "unit": {"type": "string", "enum": ["m", "ft"]}, "sizes": {"type": "array", "maxItems": 2, "items": {"type": "number", "minimum": 0}}}}
+    faults = lambda v: [f for f, _ in C.faults("t", {"a": v}, {"t": {"a": (spec, True)}})]
+    assert faults({"unit": "m", "sizes": [1, 2.5]}) == []
+    assert faults({"unit": "in", "sizes": [1, -2, True], "x": 1}) == [
+        "a.sizes is beyond maxItems 2", "a.sizes[1] is beyond minimum 0", "a.sizes[2] is no number", "a.unit is none of its values", "unexpected a.x"]
+    assert faults({}) == ["missing a.unit"] and faults([]) == ["a is no object"]
+    assert C.faults("t", {"a": "$k"}, {"t": {"a": (spec, True)}}) == [("a is no object", "k")]
