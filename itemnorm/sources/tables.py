@@ -9,7 +9,8 @@ from ..functions.text import blank, strip
 from ..operators.enrich import require_columns
 
 FORMATS = ("parquet", "csv", "json", "orc")
-READ_OPTIONS = {"csv": {"header": "true", "inferSchema": "true", "multiLine": "true", "escape": '"'}}
+# Without multiLine, large files are split among tasks; give it for records that go over several lines.
+READ_OPTIONS = {"csv": {"header": "true", "inferSchema": "true", "escape": '"'}}
 
 
 def _format_of(path: str, fmt: str | None) -> str:

@@ -13,8 +13,12 @@ from itemnorm.operators import taxonomy as Y
 from itemnorm.operators.clustering import normalize_column
 from itemnorm.operators.ordering import add_index, sample_rows
 from itemnorm.sources import catalog as G
+from itemnorm.plans.levels import level_loop
+from itemnorm.plans.votes import VoteState
 from itemnorm.plans.waves import ask_in_waves
+from itemnorm.operators.sketches import merge_sketches, profile_of, profile_sketches
 from itemnorm.session import work_folder
+from itemnorm.sources.quarantine import read_quarantined
 from itemnorm.sources.tables import attribute_sets, taxonomy
 from itemnorm.streaming.streams import compact, finished_rows, item_stream, process_stream
 
@@ -820,3 +824,122 @@ def _(t):
         process_stream(stream, work, f"{folder}/out", f"{folder}/state", "idx").awaitTermination()
         compact(spark, f"{folder}/out", 2)
     return finished_rows(spark, f"{folder}/out")
+
+
+# A line of each kind: a record, one that breaks off, one whose number is a word, one without a description.
+_RECORD = """concat('{{"Index":', {n}, ',"Description":"', {d}, '"', {e})"""
+_LINE = (
+    "case when idx % 7 = 0 then " + _RECORD.format(n="idx", d="trim(description)", e="''")
+    + " when idx % 11 = 0 then " + _RECORD.format(n="'seven'", d="trim(description)", e="'}'")
+    + " when idx % 13 = 0 then " + _RECORD.format(n="idx", d="' '", e="'}'")
+    + " else " + _RECORD.format(n="idx", d="trim(description)", e="'}'") + " end"
+)
+
+
+@register(
+    "quarantine_items",
+    D.query(
+        ["items"],
+        {"l": f"select idx, description, {_LINE} as line from items"},
+        """select cast(case when idx % 7 = 0 or idx % 11 = 0 or idx % 13 = 0 then null else idx end as bigint) as idx,
+          case when idx % 7 = 0 or idx % 11 = 0 or idx % 13 = 0 then line else trim(description) end as text,
+          case when idx % 7 = 0 or idx % 11 = 0 then 'unreadable' when idx % 13 = 0 then 'lacks Description' end as reason from l""",
+    ),
+)
+def _(t):
+    """Items as lines of JSON, some of them broken: the good rows, and the failed ones with their record."""
+    items = t("items")
+    spark, folder = items.sparkSession, work_folder(items.sparkSession)
+    items.select(F.expr(_LINE).alias("value")).write.text(f"{folder}/lines")
+    read = read_quarantined(spark, f"{folder}/lines", "Index long, Description string", "json", ["Index", "Description"])
+    good = read.good.select(F.col("Index").alias("idx"), F.col("Description").alias("text"), F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(read.failed.select(F.lit(None).cast("long").alias("idx"), F.col("record").alias("text"), "reason"))
+
+
+@register(
+    "column_profile_sketch",
+    D.query(
+        ["items"],
+        {
+            "shown": "select description, nullif(brand_raw, '') as brand, nullif(concept_noun_raw, 'nan') as noun from items",
+            "long": "select 'description' as col, description as v from shown union all select 'brand', brand from shown union all select 'noun', noun from shown",
+            "n": "select col, v, count(*) as n from long where v is not null group by col, v",
+        },
+        """select long.col as "column", count(v) as non_null, count(*) - count(v) as nulls, true as within_error,
+          (select max(n.n) from n where n.col = long.col) as top_count from long group by long.col""",
+    ),
+)
+def _(t):
+    """Sketches of three batches, stored and merged; the distinct count is held against the exact one."""
+    items = t("items")
+    shown = items.select("idx", "description", F.nullif("brand_raw", F.lit("")).alias("brand"), F.nullif("concept_noun_raw", F.lit("nan")).alias("noun"))
+    spark, folder, names = items.sparkSession, work_folder(items.sparkSession), ["description", "brand", "noun"]
+    for i in range(3):
+        profile_sketches(shown.where(F.col("idx") % 3 == i), names).write.parquet(f"{folder}/batch={i}")
+    merged = profile_of(merge_sketches(spark.read.parquet(folder)))
+    exact = P.column_profile(shown, names, "idx").select("column", F.col("distinct_values").alias("exact"))
+    within = F.col("exact").between(F.col("low"), F.col("high"))
+    return merged.join(exact, "column").select("column", "non_null", "nulls", within.alias("within_error"), F.col("top")[0]["count"].alias("top_count"))
+
+
+def _choose():
+    """Chooses by the length of the description; some answers are no category."""
+
+    def answer(request):
+        import json
+
+        size = len(next(x for x in request.split("\n") if x.startswith("Description: "))) - len("Description: ")
+        options = [x[4:] for x in request.split("\n") if x.startswith("  - ")]
+        level = int(request.split("category of level ")[1].split(" ")[0])
+        chosen = "elsewhere" if size % 7 == 0 and level == 2 else options[(size + level) % len(options)]
+        return json.dumps({"selected_category": chosen})
+
+    return lambda texts: texts.map(answer)
+
+
+@register(
+    "level_loop",
+    D.query(
+        ["items", "paths"],
+        {
+            "s": "select string_split(category, '|') as p from paths",
+            "e": "select distinct unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[1:i-1], '|'))) as parent, unnest(p) as child from s",
+            "o": "select parent, list(child order by child) as c from e group by parent",
+            "walk": """select idx, length(description) as size, '' as path, '' as tip, 0 as level, cast(null as varchar) as proposed from items
+              union all
+              select idx, size, case when bad then path when path = '' then pick else path || '|' || pick end, pick, level + 1, case when bad then 'elsewhere' end
+              from (select w.*, o.c[1 + (size + level + 1) % len(o.c)] as pick, size % 7 = 0 and level = 1 as bad
+                from walk w join o on o.parent = w.path where proposed is null and not (len(o.c) = 1 and o.c[1] = tip))""",
+            "tops": "select idx, max(level) as level from walk group by idx",
+        },
+        """select idx, path, cast(case when proposed is null then level else level - 1 end as integer) as level, proposed from walk join tops using (idx, level)""",
+        recursive=True,
+    ),
+)
+def _(t):
+    return level_loop(t("items"), _choose(), t("paths"), "idx", "description").select("idx", "path", "level", "proposed")
+
+
+@register(
+    "incremental_consensus",
+    D.query(
+        ["items"],
+        {
+            "final": """select idx, case when idx % 5 = 1 then concat(lower(trim(concept_noun_raw)), '2') else lower(trim(concept_noun_raw)) end as k,
+              case when idx % 3 = 0 then final_category else ai_mapped end as cat from items where idx % 10 <> 9""",
+            **D.consensus("f", "final", "k", "cat"),
+        },
+        "select key, winner, top as votes, cast(voters as bigint) as voters from f_win",
+    ),
+)
+def _(t):
+    """All items vote; then some change their category, some their cluster, and some are withdrawn."""
+    items = t("items")
+    state = VoteState(items.sparkSession, work_folder(items.sparkSession), 8)
+    key = F.lower(F.trim("concept_noun_raw"))
+    vote = lambda k, c: [F.col("idx").alias("item"), k.alias("key"), c.alias("category")]
+    state.apply(items.select(*vote(key, F.col("ai_mapped"))))
+    category = F.when(F.col("idx") % 3 == 0, F.col("final_category")).otherwise(F.col("ai_mapped"))
+    moved = F.when(F.col("idx") % 10 != 9, F.when(F.col("idx") % 5 == 1, F.concat(key, F.lit("2"))).otherwise(key))
+    state.apply(items.where("idx % 3 = 0 or idx % 5 = 1 or idx % 10 = 9").select(*vote(moved, category)))
+    return state.decisions()

@@ -173,7 +173,8 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, 'ball "valve", 2\nlines'), (2, "nut")], "Index long, Description string")
     for fmt in ("parquet", "csv", "json", "orc"):
         T.write_table(df, f"{tmp_path}/t.{fmt}")
-        back = T.read_items(spark, f"{tmp_path}/t.{fmt}").select("Index", "Description").orderBy("Index")
+        lines = {"multiLine": "true"} if fmt == "csv" else {}
+        back = T.read_items(spark, f"{tmp_path}/t.{fmt}", **lines).select("Index", "Description").orderBy("Index")
         assert back.collect() == df.collect()
     with pytest.raises(ValueError):
         T.read_items(spark, f"{tmp_path}/t.csv", description="Text")
