@@ -58,10 +58,17 @@ BAD = {w: -14 for w in (
     " complementary contentinfo form"
 ).split()}
 SCALE = 100
+#: Elements whose names never speak against what they hold.
+FRAME = frozenset(("html", "body", "main"))
+#: Elements that are no frame, whatever they hold.
+ASIDE = frozenset(("nav", "aside", "footer", "dialog", "menu"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "weight", "in_article")
+    """An open element. What its tag and its names say against it does not count where it is a frame (``holds``): a page may
+    name its frame after a part that it has or lacks."""
+
+    __slots__ = ("tag", "parent", "depth", "good", "bad", "holds", "in_article", "known")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.parent = tag, parent
@@ -70,11 +77,27 @@ class Node:
         own = ELEMENTS.get(tag, 0)
         if tag == "header" and parent and parent.in_article:
             own = -3  # an article's own header holds its title
+        self.holds, self.known = tag in FRAME, None
         names = [w for m in NAMES.finditer(attrs) for w in PARTS.findall((m[1] or m[2] or m[3] or "").lower())]
         bad = min((BAD[w] for w in names if w in BAD), default=0)
-        own += bad or max((GOOD[w] for w in names if w in GOOD), default=0)
-        above = parent.weight if parent else 0
-        self.weight = max(-40, min(above + own, 8))
+        good = max((GOOD[w] for w in names if w in GOOD), default=0)
+        self.good, self.bad = max(own, 0) + good, min(own, 0) + bad
+        if bad:
+            self.good -= good
+
+    @property
+    def weight(self) -> float:
+        """Known when the page has been read whole."""
+        if self.known is None:
+            todo, at = [], self
+            while at is not None and at.known is None:
+                todo.append(at)
+                at = at.parent
+            for node in reversed(todo):
+                above = node.parent.known if node.parent else 0
+                own = node.good + (0 if node.holds else node.bad)
+                node.known = max(-40, min(above + own, 8))
+        return self.known
 
 
 class Block:
@@ -91,8 +114,27 @@ class Block:
         return self.node.weight - 6 * links + min(3.0, words / 10) + (0.5 if self.text[-1] in ".!?:;\"”»" else -0.5) - 1
 
 
+def mark_frames(tops: list[Node]) -> None:
+    """Frames are the elements that hold all of the page's ``tops``: articles and main elements that no name speaks against.
+    Each element is passed once, on the way up from the first top below it."""
+    if not tops:
+        return
+    passed, lowest = set(), tops[0].parent
+    for top in tops:
+        at = top.parent
+        while at and at not in passed:
+            passed.add(at)
+            at = at.parent
+        if top is not tops[0] and at and at.depth < lowest.depth:
+            lowest = at
+    while lowest:
+        lowest.holds = lowest.tag not in ASIDE
+        lowest = lowest.parent
+
+
 def blocks_of(page: str) -> list[Block]:
     root = Node("", "", None)
+    tops: list[Node] = []
     stack, links, last, out = [root], 0, 0, []
     now = Block(root)
 
@@ -148,10 +190,13 @@ def blocks_of(page: str) -> list[Block]:
                     pass
             if tag not in VOID:
                 stack.append(Node(tag, m["attrs"] or "", stack[-1]))
+                if tag in ("article", "main") and not stack[-1].bad and not stack[-2].in_article:
+                    tops.append(stack[-1])
             links = 0
             now.node = stack[-1]
     put(page[last:])
     flush(root)
+    mark_frames(tops)
     return out
 
 

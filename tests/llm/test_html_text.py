@@ -61,3 +61,17 @@ def test_odd_pages(spark):
     got = main_text(df).collect()
     assert sorted(len(r.text) for r in got) == [0, 0, len(TEXT) + 3000 * 29]
     assert main_text(df.limit(0)).count() == 0
+
+
+def test_names_of_frames_do_not_lose_the_article():
+    text = "This is the article of the page, and it has words enough to be one. " * 3
+    for before, after in (
+        ("<body class='single-post has-sidebar'><article>", "</article></body>"), ("<body class='with-comments'><main>", "</main></body>"),
+        ("<div class='no-banner'><article>", "</article></div>"), ("<form id='aspnetForm'><article>", "</article></form>"),
+        ("<div id='search-wrapper'><div class='promo'><article class='post'>", "</article></div></div>"),
+    ):
+        page = f"<html>{before}<p>{text}</p>{after}<aside class='sidebar'><p>Other things that one may read here, many of them.</p></aside></html>"
+        assert extract(page) == text.strip(), before
+    teaser = "<aside class='related'><article><p>Another article that is only shown beside this one, with words.</p></article></aside>"
+    page = f"<div class='with-comments'><article><p>{text}</p></article>{teaser}<div class='comments'><article class='comment'><p>I liked this article very much, thank you.</p></article></div></div>"
+    assert extract(page) == text.strip()
