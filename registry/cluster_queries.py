@@ -8,6 +8,7 @@ from itemnorm.functions.text import key_fingerprint
 from itemnorm.operators import clustering as C
 from itemnorm.operators import consensus as V
 from itemnorm.operators import review as R
+from itemnorm.plans.learning import Learner
 from itemnorm.plans.renormalize import renormalize
 from itemnorm.session import cut, work_folder
 from itemnorm.sources.tables import load_mapping, save_mapping
@@ -493,3 +494,16 @@ def _(t):
         "Index", "Concept_Noun", "Category_Type", "Modifier", "Brand", "Final_Category", "Mapped_Category",
         "Normalized_Description", "Confidence_Score", "Needs_Review",
     )
+
+
+@register(
+    "learn_in_parts",
+    D.query(["items"], {**D.normalizer("m", "items", "description", "idx", "noun")}, "select value, canonical from m_map", recursive=True),
+)
+def _(t):
+    """Items arrive in two halves by their order; the learned mapping is that of all of them at once."""
+    items = t("items").select("idx", "description")
+    learner = Learner(items.sparkSession, work_folder(items.sparkSession), "noun")
+    middle = items.agg(F.percentile_approx("idx", 0.5)).first()[0]  # the result does not depend on where a half ends
+    learner.learn(items.where(F.col("idx") <= middle), "description", "idx")
+    return learner.learn(items.where(F.col("idx") > middle), "description", "idx")

@@ -18,6 +18,7 @@ SF = "/root/testdata/sf0.001"
 SLOW = {
     "ngram_similar_pairs", "leader_clusters", "normalize_category_type", "normalize_modifier", "normalize_brand",
     "normalization_summary", "run_stats", "fuzzy_similar_pairs", "fuzzy_clusters", "normalize_noun",
+    "learn_in_parts", "nearest_category",
 }
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables absent")
 
