@@ -95,3 +95,42 @@ def test_cue_over_a_line_break(spark):
     rows = [(1, "x\nAll rights\nreserved."), (2, "// All rights\n// reserved."), (3, "REM All rights\nREM reserved.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.licenses for r in licenses.report(df).collect()} == dict.fromkeys((1, 2, 3), "All-rights-reserved")
+
+
+@pytest.mark.parametrize("text, name", [
+    ("This project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.", "MIT"),
+    ("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"), ("x\nSPDX-License-Identifier: BSD-2-Clause\ny", "BSD-2-Clause"),
+    ("the software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the\n"
+     "warranties of merchantability, fitness for a particular purpose and noninfringement.", "MIT"),
+    ("Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, "
+     "provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+])
+def test_short_and_other_notices(scanner, text, name):
+    assert [f["license"] for f in scanner.scan(text)] == [name]
+
+
+def test_other_identifiers_are_not_taken_for_known_ones(scanner):
+    for text in ("SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: GPL-1.0-only", "SPDX-License-Identifier: MIT-0"):
+        assert scanner.scan(text) == []
+
+
+def test_compression_decides_who_is_compared(scanner, monkeypatch):
+    """What no dictionary makes smaller is not confirmed, and of two that fit the one that saves more is taken."""
+    line = "Released under the MIT License."
+    assert scanner.ranked(line)[0][1] == "MIT" and scanner.judge(line)[0] == "MIT"
+    order = scanner.ranked(line)
+    monkeypatch.setattr(scanner, "ranked", lambda block: [(licenses.REDUCTION / 2, n) for _, n in order])
+    assert scanner.judge(line) is None
+    short = "Same words for both of these made-up licences."
+    two = licenses.Scanner({"A": "Other words here.\n" + short.replace("made-up", "invented"), "B": short})
+    assert two.judge(short)[0] == "B"
+
+
+def test_no_place_in_the_ranking_is_too_low():
+    """Every template that saves enough is compared until one is confirmed."""
+    line = "This licence text is granted to all readers of the eighth edition, number 8."
+    near = {f"L{i}": line.replace("number 8", f"number {i}") for i in range(8)}
+    assert licenses.Scanner({**near, "right": line}).judge(line)[0] == "right"
+    low = licenses.Scanner({**{f"L{i}": line.replace("number 8", f"number {i}") for i in (1, 2, 3, 4)}, "right": "Intro words.\n" + line.replace("readers", "users")})
+    assert low.judge(line)[0] == "right"
