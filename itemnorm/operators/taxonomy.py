@@ -17,6 +17,8 @@ KEYWORD_TARGET = 15
 KEYWORD_ENOUGH = 0.8
 # Fixed value: how near a category of the taxonomy must be to stand for one that it lacks.
 FUZZY_THRESHOLD = 0.9
+#: The longest category list that is put into a request, in characters.
+REQUEST_CHARS = 4_000_000
 
 
 def taxonomy_levels(categories: DataFrame) -> DataFrame:
@@ -61,12 +63,30 @@ def taxonomy_summary(categories: DataFrame) -> DataFrame:
     )
 
 
-def category_list_text(categories: DataFrame) -> str:
+def category_pages(categories: DataFrame, page_size: int = 500) -> DataFrame:
+    """``(page, options)``: the lines of the category list in alphabetical order, ``page_size`` distinct categories a page.
+
+    Positions come from a range sort, so no task sees more than its part of the list, and a group is one page. Nulls
+    are left out; without categories there is no page."""
+    held = categories.select("category").where("category is not null").distinct()
+    placed = with_position(held, ["category"], "_at", start=0)
+    page = F.floor(F.col("_at") / page_size).cast("long").alias("page")
+    lines = F.array_sort(F.collect_list(F.struct("_at", F.concat(F.lit("  - "), "category").alias("line"))))
+    return placed.groupBy(page).agg(F.array_join(lines["line"], "\n").alias("options"))
+
+
+def category_list_text(categories: DataFrame, limit: int = REQUEST_CHARS) -> str:
     """The lines of the category list, in order. The whole list is the part of a request that all rows share:
-    it is read once and handed to the classifier beside the rows, never written into them (``enrich.Shared``).
-    A taxonomy too large for one text is asked level by level, with the lists of ``level_options``."""
-    rows = categories.select("category").distinct().orderBy("category").toLocalIterator(prefetchPartitions=True)
-    return "\n".join(f"  - {r.category}" for r in rows)
+    it is read once and handed to the classifier beside the rows, never written into them.
+
+    As it goes into every request, it cannot be longer than one: a list of more than ``limit`` characters, counted
+    before anything is read, is refused. Such a taxonomy is asked level by level (``plans.levels``), which never
+    reads a list whole."""
+    pages = cut(category_pages(categories), work_folder(categories.sparkSession), "category-pages")
+    size = pages.agg(F.coalesce(F.sum(F.length("options") + 1), F.lit(0))).first()[0]
+    if size > limit + 1:
+        raise ValueError(f"the category list has {size - 1} characters, over the {limit} of a request; ask level by level (plans.levels.level_loop)")
+    return "\n".join(r.options for r in pages.orderBy("page").toLocalIterator())
 
 
 def level_options(categories: DataFrame) -> DataFrame:

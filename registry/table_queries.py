@@ -556,6 +556,18 @@ def _(t):
     return near.select("idx", "given", "nearest_category", "similarity")
 
 
+@register(
+    "category_pages",
+    D.query(
+        ["categories"],
+        {"held": "select category, row_number() over (order by category) - 1 as place from (select distinct category from categories where category is not null)"},
+        "select place // 50 as page, string_agg(concat('  - ', category), chr(10) order by place) as options from held group by 1",
+    ),
+)
+def _(t):
+    return Y.category_pages(t("categories"), 50)
+
+
 @register(
     "taxonomy_children",
     D.query(

@@ -295,3 +295,17 @@ def test_answers_are_read_strictly(spark):
     got = [r.p for r in df.select("i", E.parse_response("c").alias("p")).orderBy("i").collect()]
     assert [p.brand for p in got] == ["SKF", "", "", "ABB"]
     assert got[0].attributes == {"material": "steel", "n": "", "b": "", "z": "0", "x": ""}
+
+
+def test_category_list(spark):
+    paths = ["b|é", "a|x", "b", None, "a|x", "c d"]
+    categories = spark.createDataFrame([(p,) for p in paths], "category string")
+    whole = "  - a|x\n  - b\n  - b|é\n  - c d"
+    assert Y.category_list_text(categories) == whole
+    assert {(r.page, r.options) for r in Y.category_pages(categories, 3).collect()} == {
+        (0, "  - a|x\n  - b\n  - b|é"), (1, "  - c d")
+    }
+    assert Y.category_list_text(categories, limit=len(whole)) == whole
+    with pytest.raises(ValueError, match="level by level"):
+        Y.category_list_text(categories, limit=len(whole) - 1)
+    assert Y.category_list_text(categories.limit(0)) == ""
