@@ -328,21 +328,34 @@ def enrich(
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        def call(rows):
-            made = pd.DataFrame({"content": None, "error": None}, index=rows.index, dtype=object)
-            made = made.assign(**{t: pd.array([pd.NA] * len(rows), dtype="Int64") for t in tokens})
+        def call(rows) -> dict[str, list]:
+            """Columns of the answers to some requests."""
+            n = len(rows)
+            made = {c: [None] * n for c in ("content", "error", *tokens)}
             try:
-                got = classify(before + rows + after)
+                got = classify(rows if joined is not None else before + rows + after)
             except Exception as failure:  # noqa: BLE001 - whatever the caller's function raises
-                return made.assign(error=str(failure))
-            if isinstance(got, pd.DataFrame):
-                return made.assign(**{c: got[c].to_numpy() for c in made if c in got})
-            return made.assign(content=got.to_numpy())
+                return made | {"error": [str(failure)] * n}
+            found = {c: got[c] for c in made if c in got} if isinstance(got, pd.DataFrame) else {"content": got}
+            if any(len(v) != n for v in found.values()):
+                raise ValueError(f"{n} requests got another number of answers")
+            return made | {c: v.tolist() for c, v in found.items()}
 
         for part in batches:
+            try:
+                joined = before + part[request] + after
+            except Exception:  # noqa: BLE001 - then every call fails by itself
+                joined = None
+            rows = part[request] if joined is None else joined
+            made: dict[str, list] = {c: [] for c in ("content", "error", *tokens)}
             for i in range(0, len(part), batch):
-                rows = part.iloc[i : i + batch]
-                yield pd.concat([rows[columns], call(rows[request])], axis=1)
+                for c, v in call(rows.iloc[i : i + batch]).items():
+                    made[c] += v
+            # One table a batch of rows: building one a call took most of the time.
+            for c in tokens:
+                made[c] = pd.array([None if pd.isna(x) else int(x) for x in made[c]], dtype="Int64")
+            answers = pd.DataFrame(made, index=part.index).astype({"content": object, "error": object})
+            yield pd.concat([part[columns], answers], axis=1)
 
     spread = df.repartition(tasks) if tasks else df
     return spread.select(*dict.fromkeys([*columns, request])).mapInPandas(run, out)

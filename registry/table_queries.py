@@ -169,7 +169,9 @@ def _enriched(t):
 
         return texts.map(answer)
 
-    return E.enrich(t("items"), strict, "description", ["idx", "description"])
+    items = t("items")
+    # a small file is one task, however many its calls are
+    return E.enrich(items, strict, "description", ["idx", "description"], items.sparkSession.sparkContext.defaultParallelism)
 
 
 @register(

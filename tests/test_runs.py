@@ -244,3 +244,52 @@ def test_full_run_over_a_store(spark, tmp_path):
         assert sorted(r["Index"] for r in done.usage.collect()) == [0, 1, 2, 4, 5, 6, 7]
     got = {r.Index: (r.Category, r.Concept_Noun) for r in done.table.collect()}
     assert len(got) == done.table.count() == 8 and got[0][0] == "MRO|Valve" and got[3][1] in ("pump", "motor")
+
+
+def test_enrich_keeps_every_call(spark):
+    """Thousands of calls of one request: nulls, failures, token counts and order of the answers."""
+    import pandas as pd
+
+    from itemnorm.operators.enrich import enrich
+
+    def answer(texts):
+        text = texts.iloc[0]
+        if len(texts) > 1 or text.endswith("3"):
+            raise ValueError(f"no {text}")
+        if text.endswith("4"):
+            return texts.str.upper()
+        return pd.DataFrame({"content": [f"<{text}>"], "input_tokens": [len(text)], "error": [None], "other": [1]})
+
+    df = spark.range(0, 10_000, 1, 1).selectExpr("id", "if(id % 10 = 9, null, concat('t', id)) as r")
+    rows = {r.id: r for r in enrich(df, answer, "r", ["id", "r"], around=("a ", " b")).collect()}
+    assert len(rows) == 10_000
+    assert all(rows[i].content == f"<a t{i} b>" and rows[i].input_tokens == len(f"a t{i} b") for i in (0, 5, 9_997))
+    assert all(r.output_tokens is None for r in rows.values())
+    assert rows[9].error and rows[9].content is None and rows[9].r is None
+
+    df = df.selectExpr("id", "concat('t', id) as r")
+    rows = {r.id: r for r in enrich(df, answer, "r", ["id"]).collect()}
+    assert rows[3].error == "no t3" and rows[3].content is None and rows[4].content == "T4" and rows[4].input_tokens is None
+    numbers = enrich(df.where("id < 20"), answer, "id", ["id"]).collect()
+    assert len(numbers) == 20 and all(r.error and r.content is None for r in numbers)
+    halves = enrich(df.where("id < 20"), lambda texts: texts + "!", "r", ["id"], batch=3).collect()
+    assert sorted((r.id, r.content) for r in halves) == [(i, f"t{i}!") for i in range(20)]
+    with pytest.raises(Exception, match="another number of answers"):
+        enrich(df.where("id < 20"), lambda texts: texts.iloc[:1], "r", ["id"], batch=3).collect()
+
+
+def test_enrich_builds_one_table_a_batch_of_rows(spark):
+    """Not one a call: that took most of the time of ``failed_rows``. The calls count the tables joined so far."""
+    from itemnorm.operators.enrich import enrich
+
+    def answer(texts):
+        import pandas as pd
+
+        if not hasattr(pd, "joined"):
+            join, pd.joined = pd.concat, []
+            pd.concat = lambda *a, **b: pd.joined.append(1) or join(*a, **b)
+        return texts.map(lambda text: str(len(pd.joined)))
+
+    calls = enrich(spark.range(0, 200, 1, 1).selectExpr("id", "concat('t', id) as r"), answer, "r", ["id"]).collect()
+    counts = [int(r.content) for r in sorted(calls)]
+    assert counts[-1] - counts[0] == 0
