@@ -62,6 +62,37 @@ def test_cluster_without_a_checkpoint_folder(spark, tmp_path, master):
     assert cut(spark.range(5), folder, "t").count() == 5
 
 
+class OwnFolder(Session):
+    """Of what tasks write into ``own``, the driver sees one file."""
+
+    def __init__(self, *args, own, **kwargs):
+        super().__init__(*args, **kwargs)
+        self.own, self.tried = own, []
+
+    @property
+    def read(self):
+        def parquet(path):
+            self.tried.append(path)
+            return SimpleNamespace(count=lambda: 1) if path.startswith(self.own) else self.spark.read.parquet(path)
+
+        return SimpleNamespace(schema=lambda schema: SimpleNamespace(parquet=parquet))
+
+
+@pytest.mark.parametrize("master", CLUSTERS)
+def test_warehouse_takes_the_place_of_a_folder_that_is_not_shared(spark, tmp_path, master):
+    own, warehouse = f"{tmp_path}/own", f"file:{tmp_path}/warehouse"
+    session = OwnFolder(spark, master, own, warehouse=warehouse, own=own)
+    folder = work_folder(session)
+    assert folder.startswith(f"{warehouse}/itemnorm-") and folder != work_folder(session)
+    assert len(session.tried) == 2, "each folder is tried once"
+    assert cut(spark.range(5), folder, "t").count() == 5
+    (tmp_path / "file").write_text("")
+    unwritable = Session(spark, master, f"{tmp_path}/file", warehouse=f"file:{tmp_path}/warehouse2")
+    assert work_folder(unwritable).startswith(f"file:{tmp_path}/warehouse2/itemnorm-")
+    of_context = Session(spark, master, context_folder=f"file:{tmp_path}/file", warehouse=f"file:{tmp_path}/warehouse3")
+    assert work_folder(of_context).startswith(f"file:{tmp_path}/warehouse3/itemnorm-")
+
+
 def test_named_scheme_and_local_session_are_not_tried(spark, tmp_path):
     assert work_folder(Session(spark, "yarn", "hdfs://name/folder", seen=0)).startswith("hdfs://name/folder/itemnorm-")
     assert work_folder(Session(spark, "local[2]", f"{tmp_path}/x", seen=0)).startswith(f"{tmp_path}/x/itemnorm-")
