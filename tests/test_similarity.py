@@ -64,6 +64,20 @@ def test_leaders_are_not_connected_components(spark):
     assert {r.node: r.leader for r in rows} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6}
 
 
+def test_rows_of_a_nodes_parts_are_grouped_where_they_are(spark):
+    nodes = _nodes(spark, _texts(5), ngrams)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        signed = S.signatures(nodes, 0.7)
+        plan = signed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    dealt = [line.split("Exchange ")[1] for line in plan.splitlines() if "Exchange " in line]
+    assert dealt and not any("part#" in d or "level#" in d for d in dealt), plan
+    assert signed.groupBy("node", "level", "part").count().filter("count > 1").isEmpty()
+
+
 def test_dense_group_does_not_depend_on_batches(spark):
     """A third of all nodes are near copies of one text."""
     copies = [f"the same long purchase text number {i:04d} for one item" for i in range(150)]
