@@ -28,6 +28,8 @@ from .similarity import (
 )
 
 KINDS = ("noun", "category", "brand", "generic")
+#: Shared keys that are sent to every task; with more, all variants are shuffled by their key.
+SENT = 1_000_000
 
 
 def value_counts(df: DataFrame, column: str, order: str) -> DataFrame:
@@ -55,13 +57,18 @@ def collision_clusters(
     df: DataFrame, column: str, order: str, method: str = "fingerprint", n: int = 2
 ) -> DataFrame:
     """``(cluster_key, value, n, first_pos, variants)``, one row per variant of every cluster with two
-    variants or more."""
+    variants or more.
+
+    Hashes of keys are counted first, so that only variants whose hash comes twice are shuffled with their texts."""
     if method not in ("fingerprint", "ngram"):
         raise ValueError(f"unknown method {method!r}")
     key = key_fingerprint("value") if method == "fingerprint" else ngram_fingerprint("value", n)
-    keyed = cut(
-        exact_counts(df, column, order).withColumn("cluster_key", key), work_folder(df.sparkSession), "keyed"
-    ).filter("cluster_key <> ''")
+    folder = work_folder(df.sparkSession)
+    keyed = exact_counts(df, column, order).withColumn("cluster_key", key)
+    keyed = cut(keyed.withColumn("h", F.expr("if(cluster_key <> '', xxhash64(cluster_key), null)")), folder, "keyed").filter("h is not null")
+    twice = cut(keyed.groupBy("h").agg(F.count("*").alias("m")).filter("m >= 2").select("h"), folder, "twice")
+    if twice.count() <= SENT:
+        keyed = keyed.join(F.broadcast(twice), "h", "left_semi")
     return _only_shared(keyed)
 
 

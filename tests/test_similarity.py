@@ -150,6 +150,20 @@ def test_collision_clusters_use_exact_values(spark):
         C.collision_clusters(df, "v", "i", method="other")
 
 
+def test_collision_clusters_shuffle_only_texts_of_shared_keys(spark, monkeypatch):
+    rows = [(i, f"text {i:03d} alone") for i in range(200)] + [(i, ["b a", "A b", "a, b", "x y", "Y x"][i % 5]) for i in range(200, 220)]
+    df = spark.createDataFrame([*rows, (220, "--"), (221, ""), (222, None), (222, "b a")], "i long, v string").repartition(7)
+    for method, sizes in (("fingerprint", [2, 2, 3, 3, 3]), ("ngram", [2, 2])):
+        found = []
+        for sent in (10**6, 0):
+            monkeypatch.setattr(C, "SENT", sent)
+            clusters = C.collision_clusters(df, "v", "i", method=method)
+            found.append((clusters.columns, {tuple(r) for r in clusters.collect()}))
+            plan = clusters._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("Join LeftSemi") == (2 if sent else 0), plan
+        assert found[0] == found[1] and sorted(r[4] for r in found[0][1]) == sizes
+
+
 def test_order_must_be_unique(spark):
     df = spark.createDataFrame([(1, "valve"), (1, "gasket"), (2, "nut")], "i long, v string")
     with pytest.raises(ValueError):
