@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .common import cut, remove
 
 
+def shuffled(of: DataFrame) -> DataFrame:
+    """``of`` for joins that must not broadcast it, though its file looks small enough; hot keys are split as ever."""
+    return of.hint("merge")
+
+
 def components(edges: DataFrame, folder: str, name: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a and b); root is the smallest node it is connected to.
 
@@ -24,15 +29,15 @@ def components(edges: DataFrame, folder: str, name: str = "components") -> DataF
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")), folder, f"{name}-{turn}-around")
         large = (
-            both.where("v > u")
-            .join(least, "u")
+            shuffled(both.where("v > u"))
+            .join(shuffled(least), "u")
             .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
             .where("u > v")
             .distinct()
         )
         large = cut(large, folder, f"{name}-{turn}-large")
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")), folder, f"{name}-{turn}-below")
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = shuffled(large).join(shuffled(least), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         turn += 1
         after = cut(small, folder, f"{name}-{turn}")

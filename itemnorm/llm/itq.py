@@ -11,6 +11,9 @@ again over the vectors around it). Vectors within half the linking angle of one
 cell's vectors are linked with each other by the triangle inequality, so a large group of near copies is counted and
 joined without forming its pairs. Only pairs that are not in one cell are searched and compared.
 
+No join sends a table to all tasks: each side of a join grows with the input, and Spark, which goes by the size of a
+table's compressed file, counts neither the rows that an explode adds nor what they take in memory.
+
 Null and zero vectors and those with null or non-finite components link with nothing. Vectors of different lengths do
 not link. Equal ids are separate rows.
 """
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, work_folder
-from .groups import components
+from .groups import components, shuffled
 
 COSINE = 0.9
 SAMPLE = 8_000
@@ -158,8 +161,8 @@ def cells(rows: DataFrame, code: DataFrame, cosine: float, folder: str) -> DataF
     hot = cut(hot.select("dim", "t", "k"), folder, "hot")
     if hot.isEmpty():
         return None
-    crowd = places.join(hot, ["dim", "t", "k"]).select("row", F.struct("dim", "t", "k").alias("cell"))
-    crowd = cut(crowd.join(rows.select("row", "v"), "row"), folder, "crowd")
+    crowd = places.join(shuffled(hot), ["dim", "t", "k"]).select("row", F.struct("dim", "t", "k").alias("cell"))
+    crowd = cut(shuffled(crowd).join(shuffled(rows.select("row", "v")), "row"), folder, "crowd")
     around = crowd
     half = float(np.cos(np.arccos(cosine) / 2)) + 1e-7
     for turn, near in enumerate((0.5, 0.8, half)):
@@ -170,12 +173,12 @@ def cells(rows: DataFrame, code: DataFrame, cosine: float, folder: str) -> DataF
         length = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x))
         center = center.withColumn("length", length).where("length > 0")
         center = cut(center.select("cell", F.transform("c", lambda x: x / F.col("length")).alias("y")), folder, f"centers-{turn}")
-        near_rows = cosines(crowd.withColumnRenamed("v", "x").join(center, "cell"), ["row", "cell"]).where(F.col("cosine") >= near)
+        near_rows = cosines(crowd.withColumnRenamed("v", "x").join(shuffled(center), "cell"), ["row", "cell"]).where(F.col("cosine") >= near)
         near_rows = cut(near_rows.select("row", "cell"), folder, f"around-{turn}")
         if turn < 2:
-            around = near_rows.join(crowd, ["row", "cell"])
+            around = shuffled(near_rows).join(shuffled(crowd), ["row", "cell"])
     sizes = cut(near_rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), folder, "cell-sizes")
-    best = near_rows.join(sizes, "cell").groupBy("row").agg(F.max(F.struct("n", "cell")).alias("best"))
+    best = near_rows.join(shuffled(sizes), "cell").groupBy("row").agg(F.max(F.struct("n", "cell")).alias("best"))
     return cut(best.select("row", F.col("best.cell").alias("cell")), folder, "cells")
 
 
@@ -191,31 +194,31 @@ def near_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     code = cut(coded(rows, models), folder, "codes")
     cell = cells(rows, code, cosine, folder)
     none = F.lit(None).cast("struct<dim:int,t:int,k:bigint>")
-    placed = code.withColumn("cell", none) if cell is None else code.join(cell, "row", "left")
+    placed = code.withColumn("cell", none) if cell is None else code.join(shuffled(cell), "row", "left")
     placed = cut(placed, folder, "placed")
     a = probed(placed).select("dim", "t", "k", F.col("row").alias("a"), F.col("code").alias("ca"), F.col("cell").alias("la"))
     b = stored(placed).select("dim", "t", "k", F.col("row").alias("b"), F.col("code").alias("cb"), F.col("cell").alias("lb"))
     apart = F.col("la").isNull() | F.col("lb").isNull() | (F.col("la") != F.col("lb"))
     most = F.ceil(F.least(F.lit(BITS), F.col("dim")) * FAR)
-    met = a.join(b, ["dim", "t", "k"]).where((F.col("a") < F.col("b")) & apart)
+    met = shuffled(a).join(shuffled(b), ["dim", "t", "k"]).where((F.col("a") < F.col("b")) & apart)
     met = met.where(F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= most)
     met = cut(met.select("a", "b").distinct(), folder, "met")
     left, right = (good.select(F.col("row").alias(r), F.col("v").alias(x)) for r, x in (("a", "x"), ("b", "y")))
-    found = cosines(met.join(left, "a").join(right, "b"), ["a", "b"]).where(F.col("cosine") >= cosine)
+    found = cosines(shuffled(shuffled(met).join(shuffled(left), "a")).join(shuffled(right), "b"), ["a", "b"]).where(F.col("cosine") >= cosine)
     found = cut(found.select("a", "b"), folder, "links")
     counts = found.select(F.col("a").alias("r")).unionAll(found.select("b")).groupBy("r").agg(F.count(F.lit(1)).alias("n"))
     edges = found
     if cell is not None:
         sizes = cut(cell.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("head")), folder, "heads")
-        inside = cell.join(sizes, "cell").select("row", "n", "head")
+        inside = cell.join(shuffled(sizes), "cell").select("row", "n", "head")
         counts = counts.unionAll(inside.select("row", F.col("n") - 1)).groupBy("r").agg(F.sum("n").alias("n"))
         edges = edges.unionAll(inside.where("row <> head").select("row", "head"))
     roots = components(edges, folder)
-    joined = rows.select("row", key).join(counts.withColumnRenamed("r", "row"), "row", "left")
-    joined = joined.join(roots.withColumnRenamed("node", "row"), "row", "left")
+    joined = rows.select("row", key).join(shuffled(counts.withColumnRenamed("r", "row")), "row", "left")
+    joined = joined.join(shuffled(roots.withColumnRenamed("node", "row")), "row", "left")
     joined = joined.withColumn("root", F.coalesce("root", "row"))
     least = cut(joined.groupBy("root").agg(F.min(key).alias("component_id")), folder, "least")
-    return joined.join(least, "root").select(
+    return joined.join(shuffled(least), "root").select(
         F.col(key),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
         F.col("component_id").cast("long"),

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from itemnorm.llm import groups as G
 from itemnorm.llm import itq as Q
 
 
@@ -70,3 +71,22 @@ def test_repeated_ids_and_no_rows(spark):
     out = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in Q.near_groups(table(spark, rows)).collect())
     assert out == [(0, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True)]
     assert Q.near_groups(table(spark, rows).limit(0)).count() == 0
+
+
+def test_no_table_is_sent_to_all_tasks(spark, monkeypatch):
+    """Files of codes and edges are small beside the rows they stand for once these are exploded and in memory."""
+    plans = []
+
+    def noted(df, folder, name, cut=Q.cut):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return cut(df, folder, name)
+
+    monkeypatch.setattr(Q, "cut", noted)
+    monkeypatch.setattr(G, "cut", noted)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=16)
+    rows = [(i, (base + rng.normal(size=16) * (0.05 if i < 60 else 2)).tolist()) for i in range(150)]
+    out = Q.near_groups(table(spark, rows))
+    plans.append(("result", out._jdf.queryExecution().executedPlan().toString()))
+    assert sum("Join" in plan for _, plan in plans) > 8
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
