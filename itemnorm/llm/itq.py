@@ -4,7 +4,7 @@ A rotation of the principal components is learned so that the signs of the rotat
 themselves (alternating between the signs and the best rotation for them). It is fitted on at most ``SAMPLE``
 vectors; every vector gets a code and is searched for. Codes are cut into 16-bit parts, once from bit 0 and once from
 bit 8, and two vectors meet if some part differs in at most one bit; pairs whose codes are close enough are compared
-by cosine in double precision.
+by their rounded vectors, which tell an upper bound, and what may be near by cosine in double precision.
 
 Dense places: a part value with more than ``HOT`` vectors gets the mean direction of its vectors as a centre (taken
 again over the vectors around it). Vectors within half the linking angle of one centre are a cell, and all of a
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, work_folder
+from .common import cut, remove, work_folder
 from .groups import components, shuffled
 
 COSINE = 0.9
@@ -153,6 +153,36 @@ def cosines(pairs: DataFrame, keeps: list[str], name: str = "cosine") -> DataFra
     return pairs.select("x", "y", *keeps).mapInArrow(run, out)
 
 
+def rounded(rows: DataFrame) -> DataFrame:
+    """``row``, ``q``: the vector in steps of 1/127, a byte a component, and ``r``: the length, in steps, of what rounding changed."""
+    steps = rows.select("row", F.transform("v", lambda x: x * 127).alias("s"))
+    left = F.transform("s", lambda x: x - F.rint(x))
+    return steps.select(
+        "row", F.transform("s", lambda x: F.rint(x).cast("tinyint")).alias("q"),
+        F.sqrt(F.aggregate(left, F.lit(0.0), lambda a, x: a + x * x)).alias("r"),
+    )
+
+
+def with_vectors(pairs: DataFrame, rows: DataFrame, vector: str, *others: str) -> DataFrame:
+    """``pairs`` (a, b) with the ``vector`` of a as ``x`` and of b as ``y``, and the columns ``others`` with ``_a`` and ``_b``."""
+    left, right = (
+        shuffled(rows.select(F.col("row").alias(s), F.col(vector).alias(x), *(F.col(c).alias(f"{c}_{s}") for c in others)))
+        for s, x in (("a", "x"), ("b", "y"))
+    )
+    return shuffled(shuffled(pairs).join(left, "a")).join(right, "b")
+
+
+def possible(pairs: DataFrame, short: DataFrame, cosine: float) -> DataFrame:
+    """The pairs that may reach ``cosine`` by their rounded vectors (``short``, from :func:`rounded`).
+
+    With x = q + e and y = p + f, the product xy is at most qp + |q||f| + |e||p| + |e||f|, and |q| is at most 127 + |e|.
+    So no pair is lost, and only the others' vectors, eight times as long, are sent and compared."""
+    e, f = F.col("r_a"), F.col("r_b")
+    most = F.col("product") + (e + 127) * f + e * (f + 127) + e * f
+    products = cosines(with_vectors(pairs, short, "q", "r"), ["a", "b", "r_a", "r_b"], "product")
+    return products.where(most >= cosine * 127 * 127 - 1e-3).select("a", "b")
+
+
 def cells(rows: DataFrame, code: DataFrame, cosine: float, folder: str) -> DataFrame | None:
     """(row, cell) of the vectors that lie within half the linking angle of a dense place's centre; a vector is in
     the fullest such cell. None without dense places."""
@@ -203,8 +233,10 @@ def near_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     met = shuffled(a).join(shuffled(b), ["dim", "t", "k"]).where((F.col("a") < F.col("b")) & apart)
     met = met.where(F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= most)
     met = cut(met.select("a", "b").distinct(), folder, "met")
-    left, right = (good.select(F.col("row").alias(r), F.col("v").alias(x)) for r, x in (("a", "x"), ("b", "y")))
-    found = cosines(shuffled(shuffled(met).join(shuffled(left), "a")).join(shuffled(right), "b"), ["a", "b"]).where(F.col("cosine") >= cosine)
+    close = cut(possible(met, cut(rounded(good), folder, "rounded"), cosine), folder, "close")
+    for done in ("placed", "met", "rounded"):
+        remove(spark, f"{folder}/{done}")
+    found = cosines(with_vectors(close, good, "v"), ["a", "b"]).where(F.col("cosine") >= cosine)
     found = cut(found.select("a", "b"), folder, "links")
     counts = found.select(F.col("a").alias("r")).unionAll(found.select("b")).groupBy("r").agg(F.count(F.lit(1)).alias("n"))
     edges = found

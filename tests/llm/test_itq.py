@@ -90,3 +90,27 @@ def test_no_table_is_sent_to_all_tasks(spark, monkeypatch):
     plans.append(("result", out._jdf.queryExecution().executedPlan().toString()))
     assert sum("Join" in plan for _, plan in plans) > 8
     assert [name for name, plan in plans if "Broadcast" in plan] == []
+
+
+def test_only_possible_pairs_are_sent_with_their_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 24))
+    x[200:] = x[:200] + rng.normal(size=(200, 24)) * rng.uniform(0.3, 0.7, (200, 1))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cosine = unit @ unit.T
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "row long, v array<double>")
+    pairs = spark.createDataFrame([(i, j) for i in range(400) for j in range(i + 1, 400)], "a long, b long")
+    got = {(r.a, r.b) for r in Q.possible(pairs, Q.rounded(rows), 0.9).collect()}
+    near = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(cosine >= 0.9))) if i < j}
+    assert near <= got and all(cosine[i, j] >= 0.83 for i, j in got) and 20 < len(near) < 200
+
+    sizes = {}
+
+    def noted(df, folder, name, cut=Q.cut):
+        out = cut(df, folder, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Q, "cut", noted)
+    Q.near_groups(table(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()
+    assert sizes["links"] <= sizes["close"] < sizes["met"] / 4
