@@ -98,7 +98,7 @@ def ngram_nodes(keys: DataFrame, key: str, order: str, n: int = 2, unicode_ngram
 def ngram_similar_pairs(keys: DataFrame, key: str, order: str, threshold: float = 0.85, n: int = 2, unicode_ngrams: bool = False) -> DataFrame:
     """Pairs ``(left_key, right_key, similarity)`` of distinct n-gram sets, earlier key first."""
     _, nodes = ngram_nodes(keys, key, order, n, unicode_ngrams)
-    pairs = similar_pairs(nodes, threshold, jaccard_verify(nodes, threshold))
+    pairs = similar_pairs(nodes, threshold, jaccard_verify(nodes, threshold), grid=True)
     return _named_pairs(pairs, nodes)
 
 

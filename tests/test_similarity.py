@@ -183,3 +183,46 @@ def test_summary(spark):
     df = spark.createDataFrame([(1, "valve"), (2, "Valve"), (3, "valves"), (4, "nut")], "i long, v string")
     row = C.normalize_column(df, "v", "i", "noun").summary().first()
     assert (row.unique_values, row.clustered) == (3, 0)
+
+
+@pytest.mark.parametrize("seed,threshold,block", [(6, 0.85, 50), (7, 0.5, 1000)])
+def test_grid_pairs_equal_brute_force(spark, seed, threshold, block, monkeypatch):
+    """Sets of many sizes in blocks of few nodes; one side with itself, and two sides with each other."""
+    monkeypatch.setattr(S, "BLOCK", block)
+    rng = random.Random(seed)
+    sets = {}
+    for i in range(150):
+        near = sets[rng.randrange(i)] if i and rng.random() < 0.5 else set(rng.sample(range(400), rng.choice([1, 2, 5, 30, 150])))
+        sets[i] = near ^ set(rng.sample(range(400), rng.randrange(3))) or {i}
+    nodes = spark.createDataFrame([(i, [str(t) for t in s]) for i, s in sets.items()], "node int, tokens array<string>")
+    near = lambda a, b: len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9
+    want = {(a, b) for a in sets for b in sets if a < b and near(a, b)}
+    short = S.sketches(nodes).cache()
+    odd = short.limit(1).selectExpr("cast(null as int) as node", "size", "w0", "w1", "w2", "w3")
+    pairs = S.grid_candidates(both := short.unionByName(odd), both, threshold)
+    got = S.jaccard_verify(nodes, threshold)(pairs).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 20
+    assert pairs.schema["a"].dataType == nodes.schema["node"].dataType
+    between = S.grid_candidates(short.filter("node < 100"), short.filter("node >= 50"), threshold)
+    got = {(r.a, r.b) for r in S.jaccard_verify(nodes, threshold)(between).collect()}
+    assert got == {(a, b) for a, b in want if a < 100 and b >= 50}
+    plain = S.greedy_leaders(nodes, threshold, S.jaccard_verify(nodes, threshold), first_batch=30, growth=16)
+    grid = S.greedy_leaders(nodes, threshold, S.jaccard_verify(nodes, threshold), first_batch=30, growth=16, grid=True)
+    assert sorted(map(tuple, grid.collect())) == sorted(map(tuple, plain.collect()))
+    assert S.grid_candidates(short.limit(0), short.limit(0), threshold).count() == 0
+
+
+def test_bigram_sets_are_written_once(spark, monkeypatch):
+    """No table holds a row per part of a set, whose number grows with the set."""
+    rows = {}
+
+    def noted(df, folder, name, cut=S.cut):
+        out = cut(df, folder, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(S, "cut", noted)
+    texts = ["the quick brown fox jumps over the lazy dog", "the quick brown fox jumps over the lazy dogs", "pack my box with five dozen jugs"]
+    keys = spark.createDataFrame(list(enumerate(texts)), "i long, key string")
+    pairs = C.ngram_similar_pairs(keys, "key", "i").collect()
+    assert [(r.left_key, r.right_key) for r in pairs] == [(texts[0], texts[1])] and rows == {"sketches": 3, "candidates": 1}
